@@ -4,15 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import packing, tokens
-from siltstone.session import table
+from siltstone.llm import neardup, packing, splitting, tokens
+from siltstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Fixed values of problem 3: three words, at least 25 features, similarity from 0.6.
+TRIPLES = {"size": 3, "least": 25, "threshold": 0.6}
+
+
+def _triples() -> Column:
+    return neardup.word_shingles(F.col("content"), TRIPLES["size"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    members, reps = neardup.representatives(table(spark, d, "code_chunks"), "chunk_no", _triples(), TRIPLES["least"])
+    members = materialize(members, "members")
+    found = neardup.row_pairs(members, neardup.similar_pairs(reps, TRIPLES["threshold"]))
+    return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "code_chunks"), "chunk_no", _triples(), TRIPLES["threshold"], TRIPLES["least"])
+
+
+def _limits(spark: SparkSession, d: str) -> splitting.Limits:
+    """The limits of the table, which has one row for each kind of limit."""
+    rows = {r["limit_name"]: r for r in table(spark, d, "size_limits").where("limit_name IN ('chunk_lines', 'chunk_chars')").collect()}
+    lines, chars = rows["chunk_lines"], rows["chunk_chars"]
+    return splitting.Limits(lines["max_size"], chars["max_size"], lines["overlap"], chars["overlap"])
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split(table(spark, d, "code_chunks"), "chunk_no", "content", "start_line", _limits(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).where("piece = 0").select("chunk_no")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -25,8 +59,12 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids, "p7_containers": p7_containers}
+    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p6_ids, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """
+            SELECT chunk_no FROM code_chunks
+            WHERE length(content) > 4000 OR length(content) - length(replace(content, chr(10), '')) + 1 > 80""",
+    }
