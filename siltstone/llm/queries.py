@@ -7,12 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import neardup, packing, splitting, tokens
+from siltstone.llm import neardup, neighbours, packing, splitting, tokens
 from siltstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Fixed values of problem 1.
+DIMENSION, LEAST_SIMILARITY = 96, 0.8
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(id, vector) of each chunk of the complete responses."""
+    whole = table(spark, d, "embed_responses").where(F.size("chunk_nos") == F.size("embeddings"))
+    return whole.select(F.explode(F.arrays_zip("chunk_nos", "embeddings")).alias("x")).select(F.col("x.chunk_nos").alias("id"), F.col("x.embeddings").alias("vector"))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.neighbours(_vectors(spark, d), DIMENSION, neighbours.Search(least=LEAST_SIMILARITY))
+    return found.withColumnRenamed("id", "chunk_no")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = p1_neighbours(spark, d).where(F.col("similarity") >= LEAST_SIMILARITY)
+    return found.select(F.least("chunk_no", "neighbour").alias("chunk_a"), F.greatest("chunk_no", "neighbour").alias("chunk_b")).distinct()
+
+
 #: Fixed values of problem 3: three words, at least 25 features, similarity from 0.6.
 TRIPLES = {"size": 3, "least": 25, "threshold": 0.6}
 
@@ -59,7 +79,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_groups, p4_found, p4_pieces, p6_ids, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
