@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import neardup, neighbours, packing, splitting, tokens
+from siltstone.llm import mojibake, neardup, neighbours, packing, splitting, tokens
 from siltstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,8 +78,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find(table(spark, d, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_groups, p4_found, p4_pieces, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_groups, p4_found, p4_pieces, p6_ids, p7_containers, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
