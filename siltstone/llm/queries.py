@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mojibake, neardup, neighbours, packing, splitting, tokens
+from siltstone.llm import mojibake, neardup, neighbours, packing, pairs, splitting, tokens
 from siltstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece = 0").select("chunk_no")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.find(table(spark, d, "eval_answers"), "answer_id", "query", "text", "n_chunks")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -87,7 +91,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_groups, p4_found, p4_pieces, p6_ids, p7_containers, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p6_ids, p7_containers, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
