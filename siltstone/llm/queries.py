@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import mojibake, neardup, neighbours, packing, pairs, splitting, tokens
-from siltstone.session import materialize, table
+from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,22 +34,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Fixed values of problem 3: three words, at least 25 features, similarity from 0.6.
-TRIPLES = {"size": 3, "least": 25, "threshold": 0.6}
-
-
-def _triples() -> Column:
-    return neardup.word_shingles(F.col("content"), TRIPLES["size"])
+TRIPLES = neardup.Likeness(size=3, least=25, threshold=0.6)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    members, reps = neardup.representatives(table(spark, d, "code_chunks"), "chunk_no", _triples(), TRIPLES["least"])
-    members = materialize(members, "members")
-    found = neardup.row_pairs(members, neardup.similar_pairs(reps, TRIPLES["threshold"]))
+    chunks = table(spark, d, "code_chunks")
+    members, reps = neardup.representatives(neardup.sketches(chunks, "chunk_no", "content", TRIPLES))
+    found = neardup.row_pairs(members, neardup.similar_pairs(reps, chunks, "chunk_no", "content", TRIPLES))
     return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(table(spark, d, "code_chunks"), "chunk_no", _triples(), TRIPLES["threshold"], TRIPLES["least"])
+    return neardup.groups(table(spark, d, "code_chunks"), "chunk_no", "content", TRIPLES)
 
 
 def _limits(spark: SparkSession, d: str) -> splitting.Limits:
