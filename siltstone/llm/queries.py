@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mojibake, neardup, neighbours, packing, pairs, splitting, tokens
+from siltstone.llm import mojibake, neardup, neighbours, packing, pairs, splitting, syntax, tokens
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("chunk_no", "neighbour").alias("chunk_a"), F.greatest("chunk_no", "neighbour").alias("chunk_b")).distinct()
 
 
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check(table(spark, d, "source_files"), "file_id", "file_path", "content", ("repo",))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("cost > 0").select("file_id")
+
+
+def p2_faults(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("cost > 0").select("file_id", "repo", F.col("lang").alias("language"), "cost", "fault")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(_checked(spark, d), "repo")
+
+
 #: Fixed values of problem 3: three words, at least 25 features, similarity from 0.6.
 TRIPLES = neardup.Likeness(size=3, least=25, threshold=0.6)
 
@@ -87,7 +103,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p6_ids, p7_containers, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_faults, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p6_ids, p7_containers, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
