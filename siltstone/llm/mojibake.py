@@ -106,6 +106,11 @@ def vote(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["written", "read", "bad", "good", "skeleton"])
 
 
+def _spread(df: DataFrame, column: str) -> DataFrame:
+    """Rows over all cores, for work that is heavy beside their bytes."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), column)
+
+
 def learn(words: DataFrame) -> list[tuple[str, str]]:
     """The transformations (written, read) that near-twins of words(word, n, skeleton) show, most votes first.
 
@@ -116,7 +121,7 @@ def learn(words: DataFrame) -> list[tuple[str, str]]:
     good = some.select("skeleton", F.col("word").alias("good"), F.col("n").alias("often"))
     bad = some.where(~F.col("word").contains(REPLACEMENT)).select("skeleton", F.col("word").alias("bad"), "n")
     pairs = bad.join(good, "skeleton").where(F.col("often") >= RATIO * F.col("n")).select("bad", "good", "skeleton")
-    votes = pairs.repartition(F.col("bad")).mapInPandas(vote, "written string, read string, bad string, good string, skeleton string")
+    votes = _spread(pairs, "bad").mapInPandas(vote, "written string, read string, bad string, good string, skeleton string")
     counts = votes.groupBy("written", "read").agg(F.countDistinct("bad", "good").alias("pairs"), F.countDistinct("skeleton").alias("twins"))
     found = counts.where((F.col("pairs") >= VOTES) & (F.col("twins") >= VOTES)).orderBy(F.desc("twins"), F.desc("pairs"), "written", "read").collect()
     return [(r["written"], r["read"]) for r in found]
@@ -165,7 +170,7 @@ def candidates(words: DataFrame, ways: list[tuple[str, str]]) -> DataFrame:
                     out += [(word, n, b, False) for b in dict.fromkeys(b for b, strong in _undo(word, ways) if not strong)]
             yield pd.DataFrame(out, columns=["word", "n", "restored", "strong"])
 
-    return words.select("word", "n").mapInPandas(run, "word string, n long, restored string, strong boolean")
+    return _spread(words.select("word", "n"), "word").mapInPandas(run, "word string, n long, restored string, strong boolean")
 
 
 def characters(words: DataFrame) -> dict[str, int]:
