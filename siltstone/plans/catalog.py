@@ -539,7 +539,7 @@ def prompt_build(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH e AS (SELECT repo, seen_at::TIMESTAMP AS t FROM file_states WHERE seen_at IS NOT NULL AND regexp_extract(file_path, '[^/]*$') NOT LIKE '.%' AND {_LANGUAGE_SQL} <> 'unknown' AND file_path NOT LIKE '%\\_test.go' ESCAPE '\\'),
-marked AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY repo ORDER BY t) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+marked AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY repo ORDER BY t) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY repo ORDER BY t ROWS UNBOUNDED PRECEDING) AS burst FROM marked)
 SELECT repo, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS events FROM numbered GROUP BY repo, burst""")
 def watch_debounce(spark: SparkSession, d: str) -> DataFrame:

@@ -88,10 +88,12 @@ class ChangeReader(SimpleDataSourceStreamReader):
         return {p: t for p, _, t in listed(self.root, self.skip_dirs)}
 
     def _between(self, old: dict, new: dict) -> Iterator[tuple]:
+        rows = []
         for path in sorted({*old, *new}):
             if old.get(path) != new.get(path):
                 op = "remove" if path not in new else "write" if path in old else "create"
-                yield path, op, datetime.fromtimestamp(new.get(path, old.get(path)), timezone.utc)
+                rows.append((path, op, datetime.fromtimestamp(new.get(path, old.get(path)), timezone.utc)))
+        return iter(rows)  # Spark copies the iterator, which a generator doesn't allow
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         now = self._now()
