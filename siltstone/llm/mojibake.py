@@ -130,7 +130,7 @@ def learn(words: DataFrame) -> list[tuple[str, str]]:
 def _undo(word: str, ways: list[tuple[str, str]]) -> Iterator[tuple[str, bool]]:
     """(restored, strong): what the word may have been. strong: its bytes are valid UTF-8, which chance hardly makes."""
     for written, read in ways:
-        if (back := restore(word, written, read)) is not None and back.isprintable():
+        if (back := restore(word, written, read)) is not None and (written == "utf-8" or back.isprintable()):
             yield back, written == "utf-8"
 
 
