@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions.stemmer import stem_column
+from siltstone.session import materialize
 
 K1, B = 0.5, 0.75
-#: Queries are few beside documents; they are sent to all executors only below this size.
-SMALL_ROWS = 20_000
 
 
 def tokenized(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -21,19 +20,38 @@ def tokenized(df: DataFrame, id_col: str, text: Column) -> DataFrame:
 def term_counts(tokens: DataFrame, stems: bool = False) -> DataFrame:
     """(id, token, tf, length): how often each word is in each text, and the text's number of words without stems.
 
-    With stems, each word whose stem differs counts for its stem, too. Stems are worked out once per distinct
-    word and joined back. Rows are counted in each partition before they are shuffled.
+    Rows are counted in each partition before they are shuffled.
     """
-    flat = tokens.select("id", F.size("words").alias("length"), F.explode("words").alias("token"))
+    # Outer, as an inner explode would have its list worked out a second time to drop empty ones.
+    flat = tokens.select("id", F.size("words").alias("length"), F.explode_outer("words").alias("token")).where("token IS NOT NULL")
     counts = flat.groupBy("id", "token", "length").agg(F.count("*").alias("tf"))
-    if not stems:
-        return counts
-    known = flat.select("token").distinct().withColumn("stem", stem_column("token"))
+    return with_stems(counts) if stems else counts
+
+
+def with_stems(counts: DataFrame) -> DataFrame:
+    """Term counts in which each word whose stem differs counts for its stem, too.
+
+    Stems are worked out once per distinct word and joined back.
+    """
+    known = counts.select("token").distinct().withColumn("stem", stem_column("token"))
     known = known.where((F.col("stem") != F.col("token")) & ~F.col("stem").isin(X.STOP_WORDS))
     more = counts.join(known, "token").select("id", F.col("stem").alias("token"), "length", "tf")
     return counts.unionByName(more.select(*counts.columns)).groupBy("id", "token", "length").agg(F.sum("tf").alias("tf"))
 
 
+def corpus(df: DataFrame, id_col: str, text: Column, stems: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(term counts, statistics) of a table of texts, each text cut into words once.
+
+    The counts are written to the shared folder, since documents, frequencies and weights all read them. The mean length
+    comes from them, too: a text's counts add up to its length.
+    """
+    base = materialize(term_counts(tokenized(df, id_col, text)), "terms")
+    texts = df.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"))
+    total = base.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = texts.join(F.broadcast(total)).select("n", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("avgdl"))  # one row each
+    return with_stems(base) if stems else base, stats
+
+
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """(n, avgdl) in one row: texts, those without words included, and their mean number of words; 0 and 0 if there are none."""
     return tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avgdl"))

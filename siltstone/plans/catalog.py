@@ -189,16 +189,18 @@ def token_hashes(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.explode("words").alias("token")).distinct().select("token", X.token_hash(F.col("token")).alias("hash"))
 
 
-def _parts(spark: SparkSession, d: str, stems: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(words, counts, statistics, idf) of the enriched texts of all chunks."""
-    words = sparse.tokenized(table(spark, d, "code_chunks"), "chunk_no", _enriched())
-    counts, stats = sparse.term_counts(words, stems), sparse.corpus_stats(words)
-    return words, counts, stats, sparse.idf(counts, stats)
+def _corpus(spark: SparkSession, d: str, stems: bool) -> tuple[DataFrame, DataFrame]:
+    """(term counts, statistics) of the enriched texts of all chunks."""
+    return sparse.corpus(table(spark, d, "code_chunks"), "chunk_no", _enriched(), stems)
+
+
+def _idf(spark: SparkSession, d: str, stems: bool) -> DataFrame:
+    return sparse.idf(*_corpus(spark, d, stems)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def _postings(spark: SparkSession, d: str, stems: bool) -> DataFrame:
-    _, counts, stats, idfs = _parts(spark, d, stems)
-    return sparse.weights(counts, idfs, stats)
+    counts, stats = _corpus(spark, d, stems)
+    return sparse.weights(counts, sparse.idf(counts, stats), stats)
 
 
 def _asked(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
@@ -215,17 +217,17 @@ def _asked(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
 
 @query(_BM25_SQL + "SELECT n, round(avgdl, 6) AS avgdl FROM stats")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d, False)[2].select("n", F.round("avgdl", 6).alias("avgdl"))
+    return _corpus(spark, d, False)[1].select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(_BM25_SQL + "SELECT token, df, round(idf, 6) AS idf FROM idfs")
 def doc_freq_idf(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d, False)[3].select("token", "df", F.round("idf", 6).alias("idf"))
+    return _idf(spark, d, False)
 
 
 @query()
 def doc_freq_idf_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d, True)[3].select("token", "df", F.round("idf", 6).alias("idf"))
+    return _idf(spark, d, True)
 
 
 @query(_BM25_SQL + "SELECT id AS chunk_no, token, round(weight, 6) AS weight FROM weights")

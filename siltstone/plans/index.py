@@ -76,6 +76,5 @@ def run(spark: SparkSession, store: Store, name: str, files: DataFrame, dim: int
 
 def postings(chunks: DataFrame, id_col: str, stems: bool = True) -> DataFrame:
     """(id, token, weight) of chunks by their enriched text."""
-    tokens = materialize(sparse.tokenized(chunks, id_col, F.col("enriched_text")), "words")
-    counts, stats = sparse.term_counts(tokens, stems), sparse.corpus_stats(tokens)
+    counts, stats = sparse.corpus(chunks, id_col, F.col("enriched_text"), stems)
     return sparse.weights(counts, sparse.idf(counts, stats), stats)
