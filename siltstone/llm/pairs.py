@@ -40,19 +40,21 @@ DECLINE = """
 cannot answer|can't answer|can not answer|unable to answer|not able to answer|not able to help|unable to help|cannot help|can't help|i don't know|i do not know
 i'm not sure|decline to|stays unanswered|remains unanswered|left unanswered|no conclusion is offered|would be a guess|without a basis|no basis for|before i could say
 i can't determine|i cannot determine|i can't tell|i cannot tell|impossible to tell|not possible to answer|not possible to tell|i can't say|i cannot say|i could only guess
-not enough information|insufficient information|not enough context|no relevant information|prefer not to|i won't guess|rather not guess
-nicht beantworten|keine aussage|nicht raten|weiß ich nicht|ich weiß es nicht|keine antwort geben|nicht weiterhelfen|nichts dazu sagen|reichen nicht aus
-pas répondre|ne rien affirmer|je ne sais pas|impossible de répondre|ne peux pas vous aider|impossible de dire|pas assez d'informations
-no puedo responder|no dar una respuesta|no lo sé|no es posible responder|no puedo ayudar|no hay suficiente información|no puedo decir|prefiero no
-não posso responder|não adivinhar|não sei|não é possível responder|não posso ajudar|não há informação suficiente|prefiro não
-nie mogę odpowiedzieć|nie zgadywać|nie wiem|nie potrafię odpowiedzieć|nie mogę pomóc|nie da się odpowiedzieć|za mało informacji
-ответить я не могу|не могу ответить|не стану гадать|не знаю|не могу помочь|невозможно ответить|недостаточно информации|не берусь
-お答えできません|答えられません|回答できません|わかりません|分かりません|判断できません|お答えできない|推測は控え|お手伝いできません
+not enough information|insufficient information|not enough context|no relevant information|prefer not to|i won't guess|rather not|not speculate|no speculation|not going to guess|avoid guessing
+unable to determine|unable to say|unable to tell|unable to find|unable to help|unable to locate|unable to confirm|cannot say|cannot be answered|can't be answered|cannot be determined|can't be determined|i can't help|i can't confirm|i cannot confirm|i cannot help|i can't provide|i cannot provide
+i have no way|no way to know|no way of knowing|nothing to go on|not in a position|i must refuse|i have to refuse|have to pass|i must pass|can't give an answer|cannot give an answer|no answer can be given|i won't answer|i will not answer|i'm afraid i|i could not find an answer|i couldn't find an answer|leaves me unable|leave this open|hesitate to
+nicht beantworten|keine aussage|nicht spekulieren|kann ich nicht sagen|lässt sich nicht sagen|keine auskunft|nicht beurteilen|muss ich passen|nicht raten|weiß ich nicht|ich weiß es nicht|keine antwort geben|nicht weiterhelfen|nichts dazu sagen|reichen nicht aus
+pas répondre|ne rien affirmer|ne pas deviner|ne pas spéculer|impossible de savoir|je ne saurais|je ne peux rien dire|je ne sais pas|impossible de répondre|ne peux pas vous aider|impossible de dire|pas assez d'informations
+no puedo responder|no dar una respuesta|no especular|no adivinar|no sabría|imposible saber|no me es posible|no lo sé|no es posible responder|no puedo ayudar|no hay suficiente información|no puedo decir|prefiero no
+não posso responder|não adivinhar|não especular|não consigo responder|impossível saber|não saberia|não posso dizer|não sei|não é possível responder|não posso ajudar|não há informação suficiente|prefiro não
+nie mogę odpowiedzieć|nie zgadywać|nie spekulować|nie jestem w stanie|trudno powiedzieć|nie mogę powiedzieć|nie wiem|nie potrafię odpowiedzieć|nie mogę pomóc|nie da się odpowiedzieć|za mało informacji
+ответить я не могу|не могу ответить|не стану гадать|не буду гадать|не могу сказать|нельзя сказать|не буду строить|не знаю|не могу помочь|невозможно ответить|недостаточно информации|не берусь
+お答えできません|答えられません|回答できません|わかりません|分かりません|判断できません|お答えできない|お答えを控え|回答を控え|特定できません|推測は控え|お手伝いできません
 """
 #: Phrases that decline where the same sentence names the sources.
 LACK = """
 do not contain|don't contain|does not contain|doesn't contain|not provided|not implemented in|not found in|no mention of|does not exist in|do not include|does not include
-do not mention|does not mention|don't mention|never mention|never touch|none of the|nothing about|says nothing|say nothing|do not relate|do not cover|does not cover|stops before|outside what|no information|not shown in|not part of
+do not mention|does not mention|nothing in|not covered|not cover|no trace of|no sign of|missing from|absent from|don't mention|never mention|never touch|none of the|nothing about|says nothing|say nothing|do not relate|do not cover|does not cover|stops before|outside what|no information|not shown in|not part of
 sagen nichts|nichts über|nicht enthalten|erwähnen|kein hinweis
 ne parlent pas|ne mentionne|ne contien|rien sur
 no mencionan|no contienen|no hablan|nada sobre
@@ -62,7 +64,7 @@ nie wspominają|nie zawierają|nic o
 記載がありません|含まれていません|見つかりません|言及がありません|ありません|書かれていません
 """
 SOURCES = """
-chunk|excerpt|context|snippet|listing|passage|retrieved|these files|provided files|given files|these lines|sources
+chunk|excerpt|context|snippet|material|was handed|was given|were given|provided text|provided code|supplied|listing|passage|retrieved|these files|provided files|given files|these lines|sources
 ausschnitt|auszüge|kontext|dateien
 extrait|contexte|fichiers fournis
 fragmento|contexto|extracto
