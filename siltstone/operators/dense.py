@@ -47,15 +47,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, same: list[str] | None
     def meet(t: pa.Table) -> pa.Table:
         asks = np.asarray(t["asks"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         keys = t["key"].to_numpy()
-        rows = t["vector"].to_pylist()
+        column = t["vector"].combine_chunks()
+        starts = column.offsets.to_numpy()
+        numbers = column.values.to_numpy(zero_copy_only=False)  # nulls become NaN
+        sizes = np.diff(starts)
         out: tuple[list, list, list] = ([], [], [])
-        for dim in {len(x) for x in rows}:
-            fits = np.array([len(x) == dim and None not in x for x in rows])
+        for dim in np.unique(sizes).tolist():
             sides = []
-            for side in (asks & fits, ~asks & fits):
-                m = np.array([rows[i] for i in np.flatnonzero(side)], float).reshape(-1, dim)
+            for side in (asks, ~asks):
+                own = np.flatnonzero(side & (sizes == dim))
+                m = numbers[starts[own][:, None] + np.arange(dim)[None, :]]
                 norm = np.linalg.norm(m, axis=1)
-                sides.append((keys[side][norm > 0], m[norm > 0] / norm[norm > 0, None]))
+                good = norm > 0  # false for NaN
+                sides.append((keys[own][good], m[good] / norm[good, None]))
             (qk, qm), (vk, vm) = sides
             if not len(qk) or not len(vk):
                 continue
