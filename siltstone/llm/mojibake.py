@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -138,7 +139,9 @@ def _peel(word: str, ways: list[tuple[str, str]]) -> str | None:
     """The word with UTF-8 that was misread put right, as often as it was misread; None if nothing was."""
     now = word
     for _ in range(ROUNDS):
-        nxt = next((b for b, strong in _undo(now, ways) if strong), None) if RUN.search(now) else None
+        found = [b for b, strong in _undo(now, ways) if strong] if RUN.search(now) else []
+        # Control characters and unassigned ones come out only where another mistake lies beneath.
+        nxt = min(found, key=lambda b: sum(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in b), default=None)
         if nxt is None:
             break
         now = nxt
