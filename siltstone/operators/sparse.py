@@ -87,9 +87,27 @@ def rank(scored: DataFrame, k: int, keys: list[str], score: str = "score", tie:
 def search(query_words: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k best texts of each query; texts that share no word don't appear.
 
-    query_words(query_id, words): each distinct word weighs 1. Postings that no query asks for are dropped by the
-    join on the word, and scores are added up in each partition before the shuffle.
+    query_words(query_id, words): each distinct word weighs 1. Exact, without scoring every text that holds a common word:
+    the two heaviest words of a query give a score that its k-th best text reaches at least. Words that even together
+    can't reach it need not be looked up on their own; they are added only to texts that other words found.
     """
-    asked = query_words.select("query_id", F.explode(F.array_distinct("words")).alias("token"))
-    scored = postings.join(asked, "token").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
-    return rank(scored, k, ["query_id"]).select("query_id", "id", "score", "rank")
+    postings = materialize(postings.select("id", "token", "weight"), "postings")
+    tops = postings.groupBy("token").agg(F.max("weight").alias("top"))
+    asked = query_words.select("query_id", F.explode(F.array_distinct("words")).alias("token")).join(tops, "token")
+    words = Window.partitionBy("query_id")  # the few words of one query
+    asked = asked.withColumn("place", F.row_number().over(words.orderBy(F.desc("top"), "token")))
+    asked = asked.withColumn("below", F.sum("top").over(words.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)))
+    asked = materialize(asked, "asked")
+
+    def scores(some: DataFrame) -> DataFrame:
+        return postings.join(some.select("query_id", "token"), "token").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
+
+    least = rank(scores(asked.where("place <= 2")), k, ["query_id"]).where(F.col("rank") == k).select("query_id", (F.col("score") - 1e-6).alias("least"))
+    asked = materialize(asked.join(least, "query_id", "left").select("query_id", "token", "below", F.coalesce("least", F.lit(0.0)).alias("least")), "asked")
+    light = asked.where("below < least")
+    rest = light.groupBy("query_id").agg(F.max("below").alias("rest"), F.max("least").alias("least"))
+    found = scores(asked.where("below >= least")).join(rest, "query_id", "left").where("least IS NULL OR score + rest >= least").select("query_id", "id", "score")
+    found = materialize(found, "found")
+    more = found.select("query_id", "id").join(light.select("query_id", "token"), "query_id").join(postings, ["id", "token"]).select("query_id", "id", F.col("weight").alias("score"))
+    total = found.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    return rank(total, k, ["query_id"]).select("query_id", "id", "score", "rank")
