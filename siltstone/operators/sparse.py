@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions.stemmer import stem_column
-from siltstone.session import materialize
+from siltstone.session import materialize, spread
 
 K1, B = 0.5, 0.75
 
@@ -45,7 +45,7 @@ def corpus(df: DataFrame, id_col: str, text: Column, stems: bool = False) -> tup
     The counts are written to the shared folder, since documents, frequencies and weights all read them. The mean length
     comes from them, too: a text's counts add up to its length.
     """
-    base = materialize(term_counts(tokenized(df, id_col, text)), "terms")
+    base = materialize(term_counts(tokenized(spread(df), id_col, text)), "terms")
     texts = df.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"))
     total = base.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
     stats = texts.join(F.broadcast(total)).select("n", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("avgdl"))  # one row each
