@@ -7,11 +7,14 @@ are widened (virtual rehashing: no new tables, the same arrays with wider window
 
 So that arrays stay small, vectors live in cells around pivots that are drawn from the data; every
 vector is indexed in one cell and asks the few nearest ones. Equal vectors are searched once.
+
+Where the k nearest are wanted however far they are, vectors that windows and near cells left with fewer
+than k ask all cells with windows of full width: they meet every vector, block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +35,7 @@ class Search:
     widths: half widths of the windows, for unit vectors, in the order they are opened. A vector
     at a distance of width / sure or less is inside enough windows with a chance of over 0.99.
     block, asked: most indexed and asking vectors that meet in one task.
+    whole: go on, for vectors with fewer than k neighbours of at least `least`, until they have k of any similarity.
     """
 
     k: int = 10
@@ -45,6 +49,7 @@ class Search:
     sure: float = 1.35
     block: int = 4096
     asked: int = 16_384
+    whole: bool = False
     seed: int = 7
 
 
@@ -106,12 +111,34 @@ def nearest_in_cell(own: np.ndarray, own_ids: np.ndarray, asking: np.ndarray, as
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def nearest_of_all(own: np.ndarray, own_ids: np.ndarray, asking: np.ndarray, asking_ids: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as nearest_in_cell, of any similarity: every indexed vector is verified."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 22) // max(1, len(own)))
+    for a in range(0, len(asking) if len(own) else 0, step):
+        ids = asking_ids[a : a + step]
+        sims = asking[a : a + step] @ own.T
+        # One more than wanted, for the query itself; whatever rounds to the last one's similarity stays in.
+        at = len(own) - s.k - 2
+        least = np.partition(sims, at, axis=1)[:, at] - 2e-6 if at > 0 else np.full(len(ids), -2.0)
+        q, o = np.nonzero(sims >= least[:, None])
+        other = own_ids[o] != ids[q]
+        q, o = q[other], o[other]
+        near = np.round(sims[q, o], 6)
+        at = np.lexsort((own_ids[o], -near, q))
+        q, o, near = q[at], o[at], near[at]
+        top = np.arange(len(q)) - np.concatenate([[0], np.cumsum(np.bincount(q, minlength=len(ids)))])[q] <= s.k
+        found.append((ids[q[top]], own_ids[o[top]], near[top]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def neighbours(vectors: DataFrame, dim: int, search: Search = Search()) -> DataFrame:
     """(id, rank, neighbour, similarity) from vectors (id bigint, vector array<double>), ranks from 1.
 
     Similarity is the cosine rounded to 6 decimals; ties go to the smaller neighbour. Unusable
     vectors and null ids are left out; an id counts once. Vectors are held as 32-bit floats.
-    A neighbour below `least` doesn't count, so a row may have fewer than k, or none.
+    A neighbour below `least` doesn't count, so a row may have fewer than k, or none; with `whole`, it
+    has fewer than k only if there are no more vectors.
     """
     spark = vectors.sparkSession
     s = search
@@ -145,17 +172,34 @@ def neighbours(vectors: DataFrame, dim: int, search: Search = Search()) -> DataF
     indexed = sized.where("home").select("cell", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("ask") - 1)).alias("turn"), F.lit(True).alias("home"), "rep", "vector")
     asking = sized.where("own > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("block"), turn.alias("turn"), F.lit(False).alias("home"), "rep", "vector")
 
-    def cell(t: pa.Table) -> pa.Table:
-        home = np.asarray(t["home"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-        ids, m = t["rep"].to_numpy(), _unit(_matrix(t["vector"], dim))
-        q, o, sims = nearest_in_cell(m[home], ids[home], m[~home], ids[~home], s)
-        return pa.table({"rep": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "similarity": pa.array(sims, pa.float64())})
-
-    hits = indexed.unionByName(asking).groupBy("cell", "block", "turn").applyInArrow(cell, "rep bigint, other bigint, similarity double")
-    hits = hits.unionByName(members.where("id = rep").select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
-    # Each vector asks few cells, so its list is short: probes * (k + 1) entries of k + 1 copies at most.
-    far = hits.join(firsts.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("neighbour"), "similarity")
-    lists = far.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour"))), 1, s.k + 1).alias("near"))
+    def meet(nearest: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[pa.Table], pa.Table]:
+        def cell(t: pa.Table) -> pa.Table:
+            home = np.asarray(t["home"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+            ids, m = t["rep"].to_numpy(), _unit(_matrix(t["vector"], dim))
+            q, o, sims = nearest(m[home], ids[home], m[~home], ids[~home], s)
+            return pa.table({"rep": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "similarity": pa.array(sims, pa.float64())})
+
+        return cell
+
+    def lists_of(hits: DataFrame, asked: DataFrame) -> DataFrame:
+        """(rep, near): the k + 1 nearest ids of each asking vector, its own copies among them."""
+        hits = hits.unionByName(asked.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
+        # Each vector's list is short: k + 1 entries from each cell or block, of k + 1 copies at most.
+        far = hits.join(firsts.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("neighbour"), "similarity")
+        return far.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour"))), 1, s.k + 1).alias("near"))
+
+    out = "rep bigint, other bigint, similarity double"
+    hits = indexed.unionByName(asking).groupBy("cell", "block", "turn").applyInArrow(meet(nearest_in_cell), out)
+    lists = lists_of(hits, members.where("id = rep").select("rep"))
+    if s.whole:
+        lists = materialize(lists, "lists")
+        short = lists.where(F.size("near") <= s.k).select("rep")
+        if missing := short.count():
+            blocks, turns = -(-n // s.asked), -(-missing // s.asked)
+            block, turn = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(turns)).cast("int")
+            indexed = reps.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(True).alias("home"), "rep", "vector")
+            asking = reps.join(short, "rep", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), turn.alias("turn"), F.lit(False).alias("home"), "rep", "vector")
+            hits = indexed.unionByName(asking).groupBy("block", "turn").applyInArrow(meet(nearest_of_all), out)
+            lists = lists.where(F.size("near") > s.k).unionByName(lists_of(hits, short))
     own = members.join(lists, "rep").select("id", F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, s.k).alias("near"))
     return own.select("id", F.posexplode("near").alias("at", "x")).select("id", (F.col("at") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("similarity"))
-

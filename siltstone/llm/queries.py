@@ -24,13 +24,13 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    found = neighbours.neighbours(_vectors(spark, d), DIMENSION, neighbours.Search(least=LEAST_SIMILARITY))
+    found = neighbours.neighbours(_vectors(spark, d), DIMENSION, neighbours.Search(least=LEAST_SIMILARITY, whole=True))
     return found.withColumnRenamed("id", "chunk_no")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = p1_neighbours(spark, d).where(F.col("similarity") >= LEAST_SIMILARITY)
-    return found.select(F.least("chunk_no", "neighbour").alias("chunk_a"), F.greatest("chunk_no", "neighbour").alias("chunk_b")).distinct()
+    found = neighbours.neighbours(_vectors(spark, d), DIMENSION, neighbours.Search(least=LEAST_SIMILARITY))
+    return found.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:

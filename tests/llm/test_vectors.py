@@ -71,3 +71,25 @@ def test_large_cells_are_split(spark, clusters):
     small = N.neighbours(df, 24, N.Search(cell=10_000, block=100, asked=150)).collect()
     whole = N.neighbours(df, 24, N.Search(cell=10_000)).collect()
     assert {(r.id, r.neighbour) for r in small} == {(r.id, r.neighbour) for r in whole}
+
+
+def test_whole_lists_below_the_floor(spark, clusters):
+    ids, m = clusters
+    far = np.random.default_rng(3).normal(size=(40, 24)).astype(np.float32).astype(float)
+    ids, m = ids + list(range(801, 841)) + [900], np.concatenate([m, far, far[:1]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m)], "id bigint, vector array<double>")
+    for search in (N.Search(cell=60, whole=True), N.Search(cell=60, block=100, asked=150, whole=True)):
+        got = {}
+        for r in N.neighbours(df, 24, search).collect():
+            got.setdefault(r.id, {})[r["rank"]] = r.neighbour
+        wanted = brute(ids, m, 10, -1.0)
+        assert all(sorted(got[i]) == list(range(1, 11)) for i in ids)
+        assert all([got[i][k] for k in range(1, 11)] == [b for b, _ in wanted[i]] for i in [*range(801, 841), 900])
+        assert sum(len(set(got[i].values()) & {b for b, _ in wanted[i]}) for i in ids) >= 0.95 * 10 * len(ids)
+
+
+def test_whole_lists_of_few_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.0])], "id bigint, vector array<double>")
+    got = sorted((r.id, r["rank"], r.neighbour, r.similarity) for r in N.neighbours(df, 2, N.Search(whole=True)).collect())
+    assert got == [(1, 1, 3, 1.0), (1, 2, 2, -1.0), (2, 1, 1, -1.0), (2, 2, 3, -1.0), (3, 1, 1, 1.0), (3, 2, 2, -1.0)]
+    assert N.neighbours(df.limit(0), 2, N.Search(whole=True)).count() == 0
