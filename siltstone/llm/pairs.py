@@ -3,7 +3,8 @@
 * copy: a suffix automaton of the prompt is walked along the response; what it covers is copied.
 * refusal: an automaton of refusal phrases reads each sentence; the whole response must decline.
 * truncated: stacks of delimiters (code blocks, code spans, citations, list items) must be closed, and a
-  response without a final mark must end as sentences of the whole corpus end.
+  response without a final mark must end as sentences of the whole corpus end, be it with one word or in Japanese;
+  code spans, paths, headings, quotations, list items of one word and whole responses of one word are complete.
 * language: every sentence votes for a language by its stop words and letters.
 * empty, dangling: no letter or digit; a bracketed number that no chunk has.
 
@@ -83,6 +84,7 @@ FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 CITATION = re.compile(r"\[[0-9]+\]")
 CJK = r"぀-ヿ㐀-鿿ｦ-ﾟ"
 SENTENCE = re.compile(r"(?<=[.!?])[\"”»)*]*\s+|(?<=[。！？])|\n+")
+ONE_WORD = re.compile(r"[ぁ-ゖー]+|[^\W_ぁ-ゖ]+(?:['’-][^\W_ぁ-ゖ]+)*")
 FINAL = ".!?。！？…"
 SHORT = 3
 
@@ -225,10 +227,15 @@ def open_end(text: str) -> str | None:
         return None
     if bare[-1] in ",;:([{/–—-&=<+" or bare.count("“") > bare.count("”"):
         return "cut"
-    item = re.sub(r"\A\s*(?:[0-9]+[.)]|[-*+>])\s+", "", re.sub(r"\A\s*(?:\[[0-9]+\]\s*)+", "", SENTENCE.split(bare)[-1]))
+    line = re.sub(r"\A\s*(?:\[[0-9]+\]\s*)+", "", SENTENCE.split(bare)[-1])
+    item = re.sub(r"\A\s*(?:[0-9]+[.)]|[-*+>])\s+", "", line)
     if re.fullmatch(r"`[^`]*`|[\w./-]*\w\.[A-Za-z]\w{0,4}|\*\*.*\*\*", item) or item.startswith("#"):
         return None
-    return tail(bare)
+    # A word by itself is complete as a list item or as the whole response; so is a name, path or quotation.
+    if ONE_WORD.fullmatch(item.strip()) and (item != line or item.strip() == bare.strip()):
+        return None
+    key = tail(bare)
+    return None if key in ("", "x", "q") else key
 
 
 def tail(text: str) -> str:
@@ -342,8 +349,8 @@ def find(df: DataFrame, id_col: str, prompt_col: str, text_col: str, chunks_col:
     # How complete sentences end, over all texts; each batch gives a key once.
     known = rows.select("text").where("text IS NOT NULL").mapInPandas(ends, "ends string").distinct().withColumn("known", F.lit(True))
     undecided = seen.where("ends IS NOT NULL").join(known, "ends", "left")
-    closed = undecided.where("known OR size(split(ends, ' ')) < 2").select("id", "defect")
-    cut = undecided.where("known IS NULL AND size(split(ends, ' ')) >= 2").select("id", F.lit("truncated").alias("defect"))
+    closed = undecided.where("known").select("id", "defect")
+    cut = undecided.where("known IS NULL").select("id", F.lit("truncated").alias("defect"))
     plain = seen.where("ends IS NULL").select("id", "defect")
     stray = seen.where("dangling").select("id", F.lit("dangling").alias("defect"))
     return closed.unionByName(cut).unionByName(plain).where("defect IS NOT NULL").unionByName(stray).withColumnRenamed("id", id_col)

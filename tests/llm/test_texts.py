@@ -98,6 +98,27 @@ def test_endings_of_the_corpus_decide(spark):
     assert P.find(df.limit(0), "a", "q", "t", "n").count() == 0
 
 
+
+def test_one_word_and_japanese_ends(spark):
+    texts = [
+        (1, "The limit is read once. It is checked before the upsert starts. Not", True),
+        (2, "The limit is read once. Correct.", False),
+        (3, "The limit is read once. Correct", False),
+        (4, "Redis", False),
+        (5, "It uses these:\n\n- Redis", False),
+        (6, "It is set there. `limit`", False),
+        (7, "It is set there. src/limit.go:12", False),
+        (8, "設定はここで読み込まれます。", False),
+        (9, "上限は起動時に読み込まれます", False),
+        (10, "上限は起動時に読み込まれます。次に設定ファ", True),
+        (11, "設定", False),
+        (12, "The limit is read once.\n\n# Limits", False),
+    ]
+    df = spark.createDataFrame([(i, "where is it", t, 3) for i, t, _ in texts], "answer_id bigint, query string, text string, n_chunks int")
+    got = {r.answer_id for r in P.find(df, "answer_id", "query", "text", "n_chunks").where("defect = 'truncated'").collect()}
+    assert got == {i for i, _, cut in texts if cut}
+
+
 def test_suffix_automaton():
     a = P.SuffixAutomaton("abcbcd")
     assert a.covered("xbcbcx", 3) == [False, True, True, True, True, False]
