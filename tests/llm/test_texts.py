@@ -44,6 +44,16 @@ def test_broken(language):
             assert cost >= 1 and fault, (old, new)
 
 
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+def test_templates(language):
+    for good in ("`a ${b} c ${f({d: `${e}`})}`", "tag`x${a}`.y / 2", "`${a\n + b}$ {\\` \\${`", "`${/}/.test(a) ? '}' : \"`\"}`", "`${a}` + `${b}`", "`${(x) => { return x\n}}`", "`$${a}`", "`${a, b}`", "`${a /* } */}`"):
+        assert Y.inspect(f"const x = {good};\nlet y = 1\n", language) == (0, None), good
+    for bad in ("`${a b}`", "`${f(}`", "`${x +}`", "`${}`", "`${a)}`", "`a ${`${b c}`}`", "`${a}", "`${a"):
+        cost, fault = Y.inspect(f"const x = {bad};\nlet y = 1\n", language)
+        assert cost >= 1 and fault, bad
+    assert Y.inspect("type T = `a${U}b${'c' | V[]}`;\n", "typescript") == (0, None)
+
+
 def test_faults():
     assert Y.inspect("package p\nfunc f() {\n", "go") == (1, "truncation")
     assert Y.inspect("a = 1\n<<<<<<< ours\nb = 2\n=======\nb = 3\n>>>>>>> theirs\n", "python")[1] == "conflict"
