@@ -54,6 +54,24 @@ def test_templates(language):
     assert Y.inspect("type T = `a${U}b${'c' | V[]}`;\n", "typescript") == (0, None)
 
 
+@pytest.mark.parametrize(
+    "language, text",
+    [
+        ("typescript", "type T =\n" + "".join(f"  | 'a{i}'\n" for i in range(60)) + "let x = 1\n"),
+        ("javascript", "const x = a\n" + "".join(f"  .f{i}(b)\n" for i in range(60)) + "let y = 1\n"),
+        ("javascript", "const x = 'a' +\n" + "".join(f"  'b{i}' +\n" for i in range(60)) + "  'c'\nlet y = 1\n"),
+        *[(language, head + "if (a) { f(); }" + " else if (b) { g(); }" * 40 + " else { h(); }" + tail) for language, head, tail in (("javascript", "", "\n"), ("typescript", "", "\n"), ("java", "class A { void f() { ", " } }\n"))],
+        ("rust", "fn f() { if a { f(); }" + " else if b { g(); }" * 40 + " else { h(); } }\n"),
+        ("rust", "fn f() { match a {" + "".join(f" {i} => {{ f(); }}," for i in range(40)) + " _ => {} } }\n"),
+        ("typescript", "function f(x: M<" + ", ".join("abcdefghijklmnopq") + ">, y) {}\n"),
+    ],
+)
+def test_long_statements(language, text):
+    assert Y.inspect(text, language) == (0, None)
+    last = text.rstrip("\n }")
+    assert Y.inspect(last + " = = " + text[len(last) :], language)[0] >= 1
+
+
 def test_faults():
     assert Y.inspect("package p\nfunc f() {\n", "go") == (1, "truncation")
     assert Y.inspect("a = 1\n<<<<<<< ours\nb = 2\n=======\nb = 3\n>>>>>>> theirs\n", "python")[1] == "conflict"
