@@ -72,6 +72,17 @@ def test_long_statements(language, text):
     assert Y.inspect(last + " = = " + text[len(last) :], language)[0] >= 1
 
 
+def test_faults_that_wider_grammars_take():
+    for bad in ("def f(a=1, b):\n    pass\n", "f(a=1, 2)\n", "f() = 1\n", "f() += 1\n", "x = f'{a b}'\n", "x = 1abc\n"):
+        assert Y.inspect(bad, "python") == (1, "slip") or bad == "x = 1abc\n" and Y.inspect(bad, "python")[0], bad
+    assert Y.inspect("x = 1if y else 0x1F + 1_0.5e-3j + .5\n", "python") == (0, None)
+    valid = {"go": "var x = 1i + 0x1p-2 + 1_0.e3\n", "javascript": "let x = 10n + 1..f() + 017 + 1e3 + .5\n", "typescript": "let x = 10n + 1.5\n", "java": "class A { double x = 1_0L + 1.f + .5d + 0xFFL + 1e-3; }\n"}
+    for language, text in valid.items():
+        text = "package p\n" * (language == "go") + text
+        assert Y.inspect(text, language) == (0, None), language
+        assert Y.inspect(text.replace("= 1", "= 1abc + 1", 1), language)[0] >= 1, language
+
+
 def test_faults():
     assert Y.inspect("package p\nfunc f() {\n", "go") == (1, "truncation")
     assert Y.inspect("a = 1\n<<<<<<< ours\nb = 2\n=======\nb = 3\n>>>>>>> theirs\n", "python")[1] == "conflict"
