@@ -158,6 +158,12 @@ def test_one_word_and_japanese_ends(spark):
     assert got == {i for i, _, cut in texts if cut}
 
 
+def test_copy_of_any_length():
+    asked = "where is the retry limit of the loader read"
+    assert all(P.inspect(asked, " ".join([asked + "?"] * n), 3)[0] == "copy" for n in (1, 5, 12, 200))
+    assert P.inspect(asked, " ".join([asked + "?"] * 12) + " The loader takes it from the settings file.", 3)[0] != "copy"
+
+
 def test_suffix_automaton():
     a = P.SuffixAutomaton("abcbcd")
     assert a.covered("xbcbcx", 3) == [False, True, True, True, True, False]
