@@ -57,13 +57,15 @@ def _cohesion(words: list[list[str]], reach: int) -> list[float]:
 
 
 def _depths(cohesion: list[float]) -> list[float]:
-    """How far each place lies below the nearest peaks on both sides."""
+    """How far each place lies below the nearest peaks on both sides (index 0 unused)."""
     n = len(cohesion)
     left, right = cohesion[:], cohesion[:]
-    for i in range(1, n):
-        left[i] = max(left[i - 1] if left[i - 1] >= cohesion[i] else cohesion[i], cohesion[i])
-    for i in range(n - 2, -1, -1):
-        right[i] = max(right[i + 1] if right[i + 1] >= cohesion[i] else cohesion[i], cohesion[i])
+    for i in range(2, n):
+        if cohesion[i - 1] >= cohesion[i]:
+            left[i] = left[i - 1]
+    for i in range(n - 2, 0, -1):
+        if cohesion[i + 1] >= cohesion[i]:
+            right[i] = right[i + 1]
     return [left[i] + right[i] - 2 * cohesion[i] for i in range(n)]
 
 

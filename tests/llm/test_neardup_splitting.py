@@ -120,3 +120,10 @@ def test_split(spark):
     assert min(r.start_line for r in got if r.id == 2) == 1 and sum(r.id == 2 and r.piece == 0 for r in got) == 2
     assert all(r.start_line == r.end_line == 7 for r in got if r.id == 6)
     assert S.split(df.limit(0), "id", "content", "start_line", LIMITS).count() == 0
+
+
+def test_depths_below_the_nearest_peaks():
+    # Index 0 is unused; a low passage without a valley is not deep, a true valley is.
+    depths = S._depths([1.0, 0.1, 0.1, 0.2, 0.1, 0.8, 0.5, 0.9, 0.3])
+    assert [round(x, 6) for x in depths] == [0.0, 0.1, 0.1, 0.0, 0.8, 0.0, 0.7, 0.0, 0.6]
+    assert S._depths([]) == [] and S._depths([1.0]) == [0.0]
