@@ -1,20 +1,21 @@
 """Most similar vectors for every vector, by collision counting over single projections.
 
-Each vector is projected onto random lines. Along every line the vectors are kept in sorted order,
-and a window around the query's own place is opened; a vector inside the windows of enough lines
-(the collision threshold) is verified by its exact cosine. Windows that gave too few neighbours
-are widened (virtual rehashing: no new tables, the same arrays with wider windows).
+Each vector is projected onto lines. Along every line the vectors stand in sorted order, and a window around
+the query's own place is opened; only the members of a window are walked, each adding one to its count. A vector that
+lies in the windows of enough lines (the collision threshold) is verified by its exact cosine. Queries whose windows gave
+too few neighbours have them widened (virtual rehashing: the same arrays, of which only the newly opened ends are walked).
 
-So that arrays stay small, vectors live in cells around pivots that are drawn from the data; every
-vector is indexed in one cell and asks the few nearest ones. Equal vectors are searched once.
+So that arrays stay short, vectors meet in cells around pivots that are drawn from the data. A vector is at home in the
+cells of its few nearest pivots and meets whoever shares one of them, so within a cell collisions count for both sides
+at once. Pivots grow with the data and are found in two steps, nearest heads first. Equal vectors are searched once.
 
 Where the k nearest are wanted however far they are, vectors that windows and near cells left with fewer
-than k ask all cells with windows of full width: they meet every vector, block by block.
+than k meet every vector, block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,24 +31,26 @@ class Search:
     """k: neighbours of each vector. least: similarity below which a neighbour doesn't count.
 
     pivots: most pivots (their sample is the only part of the data that the driver and every task
-    hold: pivots * dim * 4 bytes). cell: vectors of a cell, as far as pivots go round.
-    probes: cells that a vector asks. lines, collisions: random lines, and how many must agree.
-    widths: half widths of the windows, for unit vectors, in the order they are opened. A vector
-    at a distance of width / sure or less is inside enough windows with a chance of over 0.99.
-    block, asked: most indexed and asking vectors that meet in one task.
+    hold: pivots * dim * 4 bytes, 25 MB for 96 numbers). cell: vectors for each pivot, as far as pivots go round.
+    homes: cells that a vector is in. heads: heads whose pivots it looks at; under: heads that list a pivot.
+    lines, collisions: lines, and how many must agree. radii: distances of unit vectors, in the order in which windows are opened;
+    the half width for a distance r is r / sqrt(dim), the standard deviation of the projected difference of vectors r apart.
+    block: cells of more than twice as many vectors are cut into blocks, any two of which meet.
+    asked: vectors of each side that meet in one task where every vector is met.
     whole: go on, for vectors with fewer than k neighbours of at least `least`, until they have k of any similarity.
     """
 
     k: int = 10
     least: float = 0.8
-    pivots: int = 4096
+    pivots: int = 65_536
     cell: int = 200
-    probes: int = 8
-    lines: int = 32
-    collisions: int = 20
-    widths: tuple[float, ...] = (0.3, 0.6, 0.9)
-    sure: float = 1.35
-    block: int = 4096
+    homes: int = 4
+    heads: int = 8
+    under: int = 3
+    lines: int = 16
+    collisions: int = 7
+    radii: tuple[float, ...] = (0.45, 0.64)
+    block: int = 1024
     asked: int = 16_384
     whole: bool = False
     seed: int = 7
@@ -69,69 +72,163 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def nearest_in_cell(own: np.ndarray, own_ids: np.ndarray, asking: np.ndarray, asking_ids: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, similarity to 6 decimals): up to k + 1 for each query, itself left out."""
-    lines = np.random.default_rng(s.seed).normal(size=(own.shape[1], s.lines))
-    placed, asked = own @ lines, asking @ lines
-    order = np.argsort(placed, axis=0)
-    ordered = np.take_along_axis(placed, order, axis=0)
-    rank = np.empty_like(order, dtype=np.uint16)
-    np.put_along_axis(rank, order, np.arange(len(own), dtype=np.uint16)[:, None], axis=0)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // max(1, len(own)))
-    for a in range(0, len(asking), step):
-        open_ = np.arange(a, min(a + step, len(asking)))
-        for width in s.widths:
-            hits = np.zeros((len(open_), len(own)), np.uint8)
-            for j in range(s.lines):
-                lo = np.searchsorted(ordered[:, j], asked[open_, j] - width, "left")
-                hi = np.searchsorted(ordered[:, j], asked[open_, j] + width, "right")
-                # Inside the window: the place counted from its left end is below its length.
-                hits += (rank[None, :, j] - lo.astype(np.uint16)[:, None]) < (hi - lo)[:, None].astype(np.uint16)
-            q, o = np.nonzero(hits >= s.collisions)
-            sims = np.empty(len(q))
-            for b in range(0, len(q), 200_000):
-                sims[b : b + 200_000] = np.einsum("ij,ij->i", asking[open_[q[b : b + 200_000]]], own[o[b : b + 200_000]])
-            sims = np.round(sims, 6)
-            good = (sims >= s.least) & (own_ids[o] != asking_ids[open_[q]])
-            q, o, sims = q[good], o[good], sims[good]
-            # A query is done once enough neighbours lie so near that these windows show all such, or the windows are at their widest.
-            close = 2 - 2 * sims <= (width / s.sure) ** 2
-            done = (np.bincount(q[close], minlength=len(open_)) > s.k) | (width == s.widths[-1])
-            keep = done[q]
-            q, o, sims = q[keep], o[keep], sims[keep]
-            at = np.lexsort((own_ids[o], -sims, q))
-            q, o, sims = q[at], o[at], sims[at]
-            place = np.arange(len(q)) - np.concatenate([[0], np.cumsum(np.bincount(q, minlength=len(open_)))])[q]
-            top = place <= s.k
-            found.append((asking_ids[open_[q[top]]], own_ids[o[top]], sims[top]))
-            open_ = open_[~done]
-            if not len(open_):
-                break
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+def _lines(m: np.ndarray, s: Search) -> np.ndarray:
+    """Random mixtures of the vectors' differences from their mean, so that lines lie where the vectors spread; of length 1."""
+    lines = (m - m.mean(axis=0)).T @ np.random.default_rng(s.seed).normal(size=(len(m), s.lines))
+    size = np.linalg.norm(lines, axis=0)
+    return lines / np.where(size > 0, size, 1.0)
+
+
+def _walk(order: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """owner * n + member for every member of the slice begin:end of a sorted array that each owner has opened."""
+    sizes = np.maximum(end - begin, 0)
+    at = np.repeat((begin - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    keys = np.repeat(owner * np.int32(n), sizes)
+    keys += order[at]
+    return keys
+
+
+def _verified(m: np.ndarray, single: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of at least `least`, and their similarity; single precision first leaves out what lies clearly below."""
+    kept = [np.zeros(0, bool)]
+    for i in range(0, len(a), 100_000):
+        kept.append(np.einsum("ij,ij->i", single[a[i : i + 100_000]], single[b[i : i + 100_000]]) >= least - 1e-5)
+    keep = np.concatenate(kept)
+    a, b = a[keep], b[keep]
+    sims = np.round(np.einsum("ij,ij->i", m[a], m[b]), 6)
+    good = sims >= least
+    return a[good], b[good], sims[good]
+
+
+def _best(q: np.ndarray, o: np.ndarray, sims: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `size` most similar of each query, ties to the smaller id."""
+    at = np.lexsort((ids[o], -sims, q))
+    q, o, sims = q[at], o[at], sims[at]
+    counts = np.bincount(q, minlength=1)
+    top = np.arange(len(q)) - (np.cumsum(counts) - counts)[q] < size
+    return q[top], o[top], sims[top]
+
+
+def nearest_in_cell(m: np.ndarray, ids: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, neighbour id, similarity to 6 decimals): up to k + 1 for each vector of a cell, itself left out.
+
+    Rows of m are unit vectors, in an order that depends on nothing but their ids. A query is done once more than k
+    neighbours lie so near that its windows show all such, or the windows are at their widest.
+    """
+    n, dim = m.shape
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    single = m.astype(np.float32)
+    placed = np.ascontiguousarray((single @ _lines(m, s).astype(np.float32)).T)
+    orders = np.argsort(placed, axis=1, kind="stable").astype(np.int32)
+    sorted_ = np.take_along_axis(placed, orders, axis=1)
+    place = np.empty_like(orders)
+    np.put_along_axis(place, orders, np.arange(n, dtype=np.int32)[None, :], axis=1)
+    width = s.radii[0] / dim**0.5
+    # Two vectors are in each other's windows or not at all: only the upper half of a window is walked, for both.
+    high = np.stack([np.searchsorted(x, x + width, "right") for x in sorted_])
+    keys = np.concatenate([_walk(order, order, np.arange(1, n + 1), end, n) for order, end in zip(orders, high)])
+    counts = np.bincount(keys, minlength=n * n).astype(np.uint8).reshape(n, n)
+    counts += counts.T.copy()
+    a, b = np.divmod(np.flatnonzero(counts >= s.collisions), n)
+    a, b, sims = _verified(m, single, a[a < b], b[a < b], s.least)
+    q, o, sims = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sims, sims])
+    low = np.stack([np.searchsorted(x, x - width, "left") for x in sorted_])
+    for i, radius in enumerate(s.radii):
+        enough = np.bincount(q[2 - 2 * sims <= radius * radius], minlength=n) > s.k
+        rest = np.flatnonzero(~enough)
+        if i + 1 == len(s.radii) or not len(rest):
+            break
+        width = s.radii[i + 1] / dim**0.5
+        ends = []
+        turn = np.arange(len(rest), dtype=np.int32)
+        for j, (order, x) in enumerate(zip(orders, sorted_)):
+            at = place[j, rest]
+            lo, hi = np.searchsorted(x, x[at] - width, "left"), np.searchsorted(x, x[at] + width, "right")
+            ends += [_walk(order, turn, lo, low[j, at], n), _walk(order, turn, high[j, at], hi, n)]
+            low[j, at], high[j, at] = lo, hi
+        before = counts[rest]
+        counts[rest] = before + np.bincount(np.concatenate(ends), minlength=len(rest) * n).astype(np.uint8).reshape(len(rest), n)
+        a, b = np.divmod(np.flatnonzero((counts[rest] >= s.collisions) & (before < s.collisions)), n)
+        a = rest[a]
+        a, b, more = _verified(m, single, a[a != b], b[a != b], s.least)
+        q, o, sims = np.concatenate([q, a]), np.concatenate([o, b]), np.concatenate([sims, more])
+    q, o, sims = _best(q, o, sims, ids, s.k + 1)
+    return ids[q], ids[o], sims
 
 
 def nearest_of_all(own: np.ndarray, own_ids: np.ndarray, asking: np.ndarray, asking_ids: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same as nearest_in_cell, of any similarity: every indexed vector is verified."""
+    """The same for asking vectors among all indexed ones, of any similarity: every indexed vector is looked at.
+
+    Single precision chooses, with room for its error; what is chosen is verified in double precision.
+    """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, (1 << 22) // max(1, len(own)))
+    own32, asking32 = own.astype(np.float32), asking.astype(np.float32)
     for a in range(0, len(asking) if len(own) else 0, step):
         ids = asking_ids[a : a + step]
-        sims = asking[a : a + step] @ own.T
+        sims = asking32[a : a + step] @ own32.T
         # One more than wanted, for the query itself; whatever rounds to the last one's similarity stays in.
         at = len(own) - s.k - 2
-        least = np.partition(sims, at, axis=1)[:, at] - 2e-6 if at > 0 else np.full(len(ids), -2.0)
+        least = np.partition(sims, at, axis=1)[:, at] - 1e-5 if at > 0 else np.full(len(ids), -2.0, np.float32)
         q, o = np.nonzero(sims >= least[:, None])
         other = own_ids[o] != ids[q]
         q, o = q[other], o[other]
-        near = np.round(sims[q, o], 6)
-        at = np.lexsort((own_ids[o], -near, q))
-        q, o, near = q[at], o[at], near[at]
-        top = np.arange(len(q)) - np.concatenate([[0], np.cumsum(np.bincount(q, minlength=len(ids)))])[q] <= s.k
-        found.append((ids[q[top]], own_ids[o[top]], near[top]))
+        near = np.round(np.einsum("ij,ij->i", asking[a + q], own[o]), 6)
+        q, o, near = _best(q, o, near, own_ids, s.k + 1)
+        found.append((ids[q], own_ids[o], near))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+class Pivots:
+    """The pivots, the first of which are heads, too: about the square root of their number."""
+
+    def __init__(self, pivots: np.ndarray, s: Search) -> None:
+        self.all, self.s = pivots.astype(np.float32), s
+        self.head = self.all[: max(1, round(len(pivots) ** 0.5))]
+        under = min(s.under, len(self.head))
+        listed = np.argpartition(-(self.all @ self.head.T), under - 1, axis=1)[:, :under] if len(pivots) else np.zeros((0, 1), int)
+        self.lists = [np.flatnonzero((listed == g).any(axis=1)) for g in range(len(self.head))]
+
+    def homes(self, m: np.ndarray) -> np.ndarray:
+        """The nearest pivots of each vector, nearest first; -1 where there are fewer."""
+        s, m = self.s, m.astype(np.float32)
+        heads = min(s.heads, len(self.head))
+        near = np.argpartition(-(m @ self.head.T), heads - 1, axis=1)[:, :heads]
+        best = np.full((len(m), heads * s.homes), -9.0, np.float32)
+        which = np.full(best.shape, -1, np.int64)
+        for g, listed in enumerate(self.lists):
+            rows, slot = np.nonzero(near == g)
+            if not len(rows) or not len(listed):
+                continue
+            sims = m[rows] @ self.all[listed].T
+            size = min(s.homes, len(listed))
+            top = np.argpartition(-sims, size - 1, axis=1)[:, :size]
+            to = slot[:, None] * s.homes + np.arange(size)
+            best[rows[:, None], to] = np.take_along_axis(sims, top, axis=1)
+            which[rows[:, None], to] = listed[top]
+        # A pivot may be listed under several heads; a pivot that comes again is left out.
+        at = np.argsort(which, axis=1, kind="stable")
+        best, which = np.take_along_axis(best, at, axis=1), np.take_along_axis(which, at, axis=1)
+        again = np.zeros(which.shape, bool)
+        again[:, 1:] = which[:, 1:] == which[:, :-1]
+        best[again], which[again] = -9.0, -1
+        at = np.argsort(-best, axis=1, kind="stable")[:, : s.homes]
+        return np.take_along_axis(which, at, axis=1)
+
+
+def _pivots(reps: DataFrame, n: int, dim: int, s: Search) -> np.ndarray:
+    """Unit vectors drawn by the hash of their ids, about one in `cell`; each partition sends its share only."""
+    wanted = max(1, min(s.pivots, n // s.cell))
+    # Half of the hash's range below zero is 63 bits wide; a fifth more than wanted, for chance, and then the first ones.
+    share = min(1.0, 1.2 * wanted / max(1, n) + 50 / max(1, n))
+    drawn = F.xxhash64("rep", F.lit(s.seed))
+    some = reps.select("rep", "vector", drawn.alias("h")).where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1))) if share < 1 else F.lit(True)).toArrow()
+    order = np.lexsort((some["rep"].to_numpy(), some["h"].to_numpy()))[:wanted]
+    return _unit(_matrix(some["vector"], dim)[order]) if len(order) else np.zeros((0, dim))
+
+
 def neighbours(vectors: DataFrame, dim: int, search: Search = Search()) -> DataFrame:
     """(id, rank, neighbour, similarity) from vectors (id bigint, vector array<double>), ranks from 1.
 
@@ -150,47 +247,48 @@ def neighbours(vectors: DataFrame, dim: int, search: Search = Search()) -> DataF
     firsts = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= s.k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     reps = rows.join(members.where("id = rep").select("id"), "id", "left_semi").select(F.col("id").alias("rep"), "vector")
     n = members.where("id = rep").count()
-    pivots = [r[0] for r in reps.orderBy(F.xxhash64("rep", F.lit(s.seed)), "rep").limit(max(1, min(s.pivots, n // s.cell))).select("vector").collect()]
-    centre = spark.sparkContext.broadcast(_unit(np.asarray(pivots, np.float32).reshape(-1, dim)).astype(np.float32))
-    probes = min(s.probes, max(1, len(pivots)))
+    drawn = spark.sparkContext.broadcast(Pivots(_pivots(reps, n, dim, s), s))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column(1), dim)
-            near = _unit(m).astype(np.float32) @ centre.value.T
-            best = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(m), 1))
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, axis=1), axis=1, kind="stable"), axis=1)
-            rows_ = np.repeat(np.arange(len(m)), probes)
-            yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), pa.array(np.tile(np.arange(probes) == 0, len(m))), batch.column(0).take(pa.array(rows_)), batch.column(1).take(pa.array(rows_))], ["cell", "home", "rep", "vector"])
-
-    routed = materialize(reps.mapInArrow(route, "cell int, home boolean, rep bigint, vector array<float>"), "cells")
-    # At most `pivots` rows: how many blocks a cell's indexed and asking vectors make.
-    sizes = routed.groupBy("cell").agg(F.ceil(F.count_if("home") / s.block).cast("int").alias("own"), F.ceil(F.count("*") / s.asked).cast("int").alias("ask"))
-    sized = routed.join(F.broadcast(sizes), "cell")
-    mine = F.pmod(F.xxhash64("rep"), F.greatest("own", F.lit(1))).cast("int")
-    turn = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ask")).cast("int")
-    indexed = sized.where("home").select("cell", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("ask") - 1)).alias("turn"), F.lit(True).alias("home"), "rep", "vector")
-    asking = sized.where("own > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("block"), turn.alias("turn"), F.lit(False).alias("home"), "rep", "vector")
-
-    def meet(nearest: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[pa.Table], pa.Table]:
-        def cell(t: pa.Table) -> pa.Table:
-            home = np.asarray(t["home"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-            ids, m = t["rep"].to_numpy(), _unit(_matrix(t["vector"], dim))
-            q, o, sims = nearest(m[home], ids[home], m[~home], ids[~home], s)
-            return pa.table({"rep": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "similarity": pa.array(sims, pa.float64())})
-
-        return cell
+            homes = drawn.value.homes(_unit(_matrix(batch.column(1), dim)))
+            held = homes >= 0
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32), pa.array(homes[held].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["rep", "vector", "cells"])
+
+    routed = materialize(reps.mapInArrow(route, "rep bigint, vector array<float>, cells array<int>"), "cells")
+    at_home = routed.select("rep", "vector", F.explode("cells").alias("cell"))
+    # At most `pivots` rows: into how many blocks a large cell is cut.
+    sizes = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.when(F.count("*") > 2 * s.block, F.ceil(F.count("*") / s.block)).otherwise(1).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    blocked = at_home.join(F.broadcast(sizes), "cell").select("cell", "blocks", mine.alias("mine"), "rep", "vector")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("mine")))
+    meeting = blocked.select("cell", "mine", F.explode(others).alias("other"), "rep", "vector").select("cell", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "vector")
+
+    def table(q: np.ndarray, o: np.ndarray, sims: np.ndarray) -> pa.Table:
+        return pa.table({"rep": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "similarity": pa.array(sims, pa.float64())})
+
+    def in_cell(t: pa.Table) -> pa.Table:
+        ids = t["rep"].to_numpy()
+        order = np.argsort(ids)
+        return table(*nearest_in_cell(_unit(_matrix(t["vector"], dim)[order]), ids[order], s))
+
+    def of_all(t: pa.Table) -> pa.Table:
+        home = np.asarray(t["home"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+        ids, m = t["rep"].to_numpy(), _unit(_matrix(t["vector"], dim))
+        return table(*nearest_of_all(m[home], ids[home], m[~home], ids[~home], s))
 
     def lists_of(hits: DataFrame, asked: DataFrame) -> DataFrame:
         """(rep, near): the k + 1 nearest ids of each asking vector, its own copies among them."""
-        hits = hits.unionByName(asked.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
-        # Each vector's list is short: k + 1 entries from each cell or block, of k + 1 copies at most.
-        far = hits.join(firsts.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("neighbour"), "similarity")
-        return far.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour"))), 1, s.k + 1).alias("near"))
+        # Each vector's list is short: k + 1 entries from each of its cells or blocks, then of k + 1 copies at most.
+        far = F.struct((-F.col("similarity")).alias("far"), F.col("other").alias("neighbour"))
+        near = hits.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(far)), 1, s.k + 1).alias("near")).select("rep", F.explode("near").alias("x"))
+        near = near.select("rep", F.col("x.neighbour").alias("other"), (-F.col("x.far")).alias("similarity")).unionByName(asked.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
+        copies = near.join(firsts.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("neighbour"), "similarity")
+        return copies.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour"))), 1, s.k + 1).alias("near"))
 
     out = "rep bigint, other bigint, similarity double"
-    hits = indexed.unionByName(asking).groupBy("cell", "block", "turn").applyInArrow(meet(nearest_in_cell), out)
-    lists = lists_of(hits, members.where("id = rep").select("rep"))
+    lists = lists_of(meeting.groupBy("cell", "x", "y").applyInArrow(in_cell, out), members.where("id = rep").select("rep"))
     if s.whole:
         lists = materialize(lists, "lists")
         short = lists.where(F.size("near") <= s.k).select("rep")
@@ -199,7 +297,7 @@ def neighbours(vectors: DataFrame, dim: int, search: Search = Search()) -> DataF
             block, turn = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(turns)).cast("int")
             indexed = reps.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(True).alias("home"), "rep", "vector")
             asking = reps.join(short, "rep", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), turn.alias("turn"), F.lit(False).alias("home"), "rep", "vector")
-            hits = indexed.unionByName(asking).groupBy("block", "turn").applyInArrow(meet(nearest_of_all), out)
+            hits = indexed.unionByName(asking).groupBy("block", "turn").applyInArrow(of_all, out)
             lists = lists.where(F.size("near") > s.k).unionByName(lists_of(hits, short))
     own = members.join(lists, "rep").select("id", F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, s.k).alias("near"))
     return own.select("id", F.posexplode("near").alias("at", "x")).select("id", (F.col("at") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("similarity"))
