@@ -1,7 +1,9 @@
-"""Dense vectors: validation, exact top-k in blocks, and fusion of rankings."""
+"""Dense vectors: validation, exact top-k, and fusion of rankings."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,12 @@ from pyspark.sql import functions as F
 from siltstone.operators.sparse import rank
 
 RRF_K = 60
-#: Queries and vectors that meet in one task.
+#: Bytes of queries that every task may hold; more queries meet the vectors in blocks.
+HELD = 64 << 20
+#: Queries and vectors that meet in one task, where queries come in blocks.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 20_000
+#: Queries that are multiplied at once with the vectors of a batch.
+STRIP = 512
 
 
 def validate(vectors: Column, expected: int | None = None) -> Column:
@@ -29,55 +35,105 @@ def validate(vectors: Column, expected: int | None = None) -> Column:
     )
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, same: list[str] | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k vectors with the largest cosine for each query, by exact search in blocks.
+class _Side:
+    """Ids, unit vectors by dimension and the values of further columns of some rows; zero vectors and such with nulls are left out."""
 
-    queries(query_id, vector), vectors(id, vector); null, zero and wrongly sized vectors are left out, and a vector
-    whose id equals the query's is not its own neighbour. `same` names columns of both sides that must be equal: such a filter is
-    applied before the ranking. Blocks of queries meet blocks of vectors, so no side is held whole anywhere; each
-    meeting keeps k rows per query.
-    """
-    same = same or []
-    q = queries.where("query_id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *same)
-    v = vectors.where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").select("id", F.col("vector").cast("array<double>").alias("vector"), *same)
-    qn, vn = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
-    left = q.select(F.lit(True).alias("asks"), F.col("query_id").alias("key"), "vector", *same, F.pmod(F.xxhash64("query_id"), F.lit(qn)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vn - 1))).alias("vb"))
-    right = v.select(F.lit(False).alias("asks"), F.col("id").alias("key"), "vector", *same, F.explode(F.sequence(F.lit(0), F.lit(qn - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(vn)).cast("int").alias("vb"))
-
-    def meet(t: pa.Table) -> pa.Table:
-        asks = np.asarray(t["asks"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-        keys = t["key"].to_numpy()
-        column = t["vector"].combine_chunks()
+    def __init__(self, ids: pa.Array, column: pa.Array, same: list[pa.Array]) -> None:
         starts = column.offsets.to_numpy()
-        numbers = column.values.to_numpy(zero_copy_only=False)  # nulls become NaN
+        numbers = np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64)  # nulls become NaN
         sizes = np.diff(starts)
-        out: tuple[list, list, list] = ([], [], [])
+        self.by_dim: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = {}
+        keys = ids.to_numpy(zero_copy_only=False)
+        values = [x.to_numpy(zero_copy_only=False) for x in same]
         for dim in np.unique(sizes).tolist():
-            sides = []
-            for side in (asks, ~asks):
-                own = np.flatnonzero(side & (sizes == dim))
-                m = numbers[starts[own][:, None] + np.arange(dim)[None, :]]
-                norm = np.linalg.norm(m, axis=1)
-                good = norm > 0  # false for NaN
-                sides.append((keys[own][good], m[good] / norm[good, None]))
-            (qk, qm), (vk, vm) = sides
+            own = np.flatnonzero(sizes == dim)
+            m = numbers[starts[own][:, None] + np.arange(dim)[None, :]]
+            norm = np.linalg.norm(m, axis=1)
+            good = norm > 0  # false for NaN
+            own = own[good]
+            self.by_dim[dim] = keys[own], m[good] / norm[good, None], [v[own] for v in values]
+
+
+class _Best:
+    """The k best of each query so far, ties to the smaller id."""
+
+    def __init__(self, queries: _Side, k: int) -> None:
+        self.q, self.k = queries, k
+        self.rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, vectors: _Side) -> None:
+        for dim, (vk, vm, vs) in vectors.by_dim.items():
+            qk, qm, qs = self.q.by_dim.get(dim, (np.zeros(0), None, None))
             if not len(qk) or not len(vk):
                 continue
-            for a in range(0, len(qk), 256):
-                exact = qm[a : a + 256] @ vm.T
-                s = np.round(exact, 9)
-                for i in range(len(s)):
-                    row = np.where(vk == qk[a + i], -9.0, s[i])
-                    near = np.argpartition(-row, min(k, len(row)) - 1)[:k]
-                    near = np.flatnonzero(row >= row[near].min())
-                    near = near[np.lexsort((vk[near], -row[near]))][:k]
-                    near = near[row[near] > -9]
-                    out[0].extend([qk[a + i]] * len(near))
-                    out[1].extend(vk[near].tolist())
-                    out[2].extend(exact[i, near].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    hits = left.unionByName(right).groupBy("qb", "vb", *same).applyInArrow(meet, "query_id bigint, id bigint, score double")
+            for a in range(0, len(qk), STRIP):
+                exact = qm[a : a + STRIP] @ vm.T
+                rounded = np.round(exact, 9)
+                rounded[qk[a : a + STRIP, None] == vk[None, :]] = -9.0
+                for x, y in zip(qs, vs):
+                    rounded[x[a : a + STRIP, None] != y[None, :]] = -9.0
+                at = rounded.shape[1] - self.k
+                least = np.partition(rounded, at, axis=1)[:, at] if at > 0 else np.full(len(rounded), -8.0)
+                for i in range(len(rounded)):
+                    near = np.flatnonzero((rounded[i] >= least[i]) & (rounded[i] > -9.0))
+                    ids, scores = vk[near], exact[i, near]
+                    if (a + i, dim) in self.rows:
+                        ids, scores = np.concatenate([self.rows[a + i, dim][0], ids]), np.concatenate([self.rows[a + i, dim][1], scores])
+                    best = np.lexsort((ids, -np.round(scores, 9)))[: self.k]
+                    self.rows[a + i, dim] = ids[best], scores[best]
+
+    def batch(self, query_type: pa.DataType, id_type: pa.DataType) -> pa.RecordBatch:
+        keys = [self.q.by_dim[dim][0][i] for (i, dim), (ids, _) in self.rows.items() for _ in ids]
+        ids = [x for ids, _ in self.rows.values() for x in ids.tolist()]
+        scores = np.concatenate([s for _, s in self.rows.values()]) if self.rows else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(keys, query_type), pa.array(ids, id_type), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
+
+
+def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, same: list[str] | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors with the largest cosine for each query, by exact search.
+
+    queries(query_id, vector), vectors(id, vector); null, zero and wrongly sized vectors are left out, and a vector
+    whose id equals the query's is not its own neighbour. `same` names columns of both sides that must be equal and not null: such a filter is
+    applied before the ranking. Queries of up to HELD bytes go to every task, and vectors stay where they are: each partition keeps k rows
+    of a query. More queries meet the vectors in blocks, so that no side is held whole anywhere.
+    """
+    same = same or []
+    filled = " AND ".join(["vector IS NOT NULL AND size(vector) > 0", *[f"`{c}` IS NOT NULL" for c in same]])
+    q = queries.where(f"query_id IS NOT NULL AND {filled}").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *same)
+    v = vectors.where(f"id IS NOT NULL AND {filled}").select("id", F.col("vector").cast("array<double>").alias("vector"), *same)
+    out = f"query_id {dict(q.dtypes)['query_id']}, id {dict(v.dtypes)['id']}, score double"
+    count, numbers = q.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    if 8 * numbers + 100 * count <= HELD:
+        held = q.toArrow()  # measured just now
+        kinds = held.schema.field("query_id").type
+        asked = q.sparkSession.sparkContext.broadcast([_one(held[c]) for c in ("query_id", "vector", *same)])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, column, *others = asked.value
+            best, kind = _Best(_Side(ids, column, others), k), None
+            for b in batches:
+                kind = b.schema.field("id").type
+                best.add(_Side(b.column(0), b.column(1), [b.column(2 + i) for i in range(len(same))]))
+            if kind is not None:
+                yield best.batch(kinds, kind)
+
+        hits = v.mapInArrow(scan, out)
+    else:
+        qn, vn = -(-count // QUERY_BLOCK), max(1, -(-v.count() // VECTOR_BLOCK))
+        left = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(qn)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vn - 1))).alias("vb"))
+        right = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(qn - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(vn)).cast("int").alias("vb"))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            best = _Best(_Side(_one(a["query_id"]), _one(a["vector"]), [_one(a[c]) for c in same]), k)
+            best.add(_Side(_one(b["id"]), _one(b["vector"]), [_one(b[c]) for c in same]))
+            return pa.Table.from_batches([best.batch(a.schema.field("query_id").type, b.schema.field("id").type)])
+
+        hits = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, out)
     return rank(hits, k, ["query_id"]).select("query_id", "id", "score", "rank")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import answers as A
 from siltstone.functions import text as X
 from siltstone.operators import changes, chunking, dense, evaluate, sparse
-from siltstone.session import materialize, table
+from siltstone.session import kept, table
 from siltstone.sources.config import LANGUAGES, SKIP_DIRS, Config
 from siltstone.streaming import watch
 
@@ -199,8 +199,8 @@ def _idf(spark: SparkSession, d: str, stems: bool) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str, stems: bool) -> DataFrame:
-    counts, stats = _corpus(spark, d, stems)
-    return sparse.weights(counts, sparse.idf(counts, stats), stats)
+    """(id, token, repo, language, weight) of all chunks, weighed once per application and then read by every search."""
+    return kept(spark, ("postings", d, stems), lambda: sparse.postings(table(spark, d, "code_chunks"), "chunk_no", _enriched(), stems, keep=("repo", "language")))
 
 
 def _asked(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
@@ -265,13 +265,8 @@ _FILTERED_SQL = """SELECT s.* FROM (SELECT query_id, id, sum(weight) AS score FR
 @query(_BM25_SQL + ", " + _ASKED_SQL + _RESULT_SQL.format(_ranked_sql(_FILTERED_SQL, K)))
 def sparse_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The filters of each query hold before the ranking."""
-    asked = _asked(spark, d).select("query_id", F.explode(F.array_distinct("words")).alias("token"))
-    scored = _postings(spark, d, False).join(asked, "token").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
-    own = table(spark, d, "code_chunks").select(F.col("chunk_no").alias("id"), "repo", "language")
-    filters = table(spark, d, "golden_queries").select("query_id", "filter_languages", "filter_repos")
-    free = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    keep = (free(F.col("filter_languages")) | F.array_contains("filter_languages", F.col("language"))) & (free(F.col("filter_repos")) | F.array_contains("filter_repos", F.col("repo")))
-    return _result(sparse.rank(scored.join(own, "id").join(filters, "query_id").where(keep), K, ["query_id"]))
+    asked = _asked(spark, d).join(table(spark, d, "golden_queries").select("query_id", "filter_languages", "filter_repos"), "query_id")
+    return _result(sparse.search(asked, _postings(spark, d, False), K, filters={"filter_languages": "language", "filter_repos": "repo"}))
 
 
 # ---- Dense search and fusion. ----
@@ -312,7 +307,11 @@ def vector_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(id, vector): one sound vector of each chunk, the smallest if they differ."""
+    """(id, vector): one sound vector of each chunk, the smallest if they differ; worked out once per application."""
+    return kept(spark, ("vectors", d), lambda: _sound_vectors(spark, d))
+
+
+def _sound_vectors(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "embed_responses").where("size(chunk_nos) = size(embeddings)")
     v = r.select(F.explode(F.arrays_zip("chunk_nos", "embeddings")).alias("x")).select(F.col("x.chunk_nos").alias("id"), F.col("x.embeddings").alias("vector"))
     v = v.where((F.size("vector") == 96) & F.forall("vector", lambda x: x.isNotNull()) & F.exists("vector", lambda x: x != 0))
@@ -326,7 +325,7 @@ _CHUNK_COSINES_SQL = "SELECT q.id AS query_id, v.id AS id, list_cosine_similarit
 
 @query("WITH " + _CHUNK_VECTORS_SQL + " " + _RESULT_SQL.format(_ranked_sql(_CHUNK_COSINES_SQL, 2 * K)))
 def dense_topk_chunks(spark: SparkSession, d: str) -> DataFrame:
-    v = materialize(_chunk_vectors(spark, d), "vectors")
+    v = _chunk_vectors(spark, d)
     return _result(dense.top_k(_probes(v), v, 2 * K))
 
 
@@ -335,7 +334,7 @@ _NAMED_ASKED_SQL = f"asked AS (SELECT chunk_no AS query_id, unnest(list_distinct
 
 def _branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Rankings of chunks for every chunk whose number is divisible by 50: by its name's words, and by its vector."""
-    v = materialize(_chunk_vectors(spark, d), "vectors")
+    v = _chunk_vectors(spark, d)
     asked = table(spark, d, "code_chunks").where("chunk_no % 50 = 0").select(F.col("chunk_no").alias("query_id"), X.words(F.col("name")).alias("words"))
     return sparse.search(asked, _postings(spark, d, False), 2 * K), dense.top_k(_probes(v), v, 2 * K)
 

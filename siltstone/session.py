@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", name: str = "siltstone") -> SparkSession:
@@ -50,17 +52,34 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most `most` rows of a few short columns; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+_kept: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, written once per application to the shared folder and read by all who ask for the same key.
+
+    Made anew if its files are gone.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key in _kept:
+        files = _kept[key].inputFiles()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]) if files else None
+        if path is not None and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return _kept[key]
+    _kept[key] = materialize(make(), str(key[1]))
+    return _kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files make fewer parts than there are cores; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 _shipped: set[str] = set()
 
 
