@@ -49,33 +49,50 @@ FUNC = re.compile(r"^func\s*(?:\(([^()]*)\)\s*)?(\w+)", re.M)
 PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
+SIGNATURE = re.compile(r"[ \t\r]+|\n|\w+|[(\[{]|.")
+
+
+def _body_end(code: str, at: int, closing: dict[int, int]) -> int:
+    """The place where a function ends whose name ends at `at`: the brace that closes its body, or, without one, its signature.
+
+    The signature is read token by token; a brace after `interface` or `struct` belongs to a type of the result.
+    """
+    word, end = "", at
+    while m := SIGNATURE.match(code, at):
+        at = m.end()
+        if m[0] == "\n":
+            return end
+        if m[0].isspace():
+            continue
+        if m[0] == "{" and word not in ("interface", "struct"):
+            return closing[m.start()]
+        if m.start() in closing:
+            at = closing[m.start()] + 1
+        word, end = m[0], at - 1
+    return end
+
+
 def go_functions(source: str) -> list[tuple[str, int, int]] | None:
     """(name, first line, last line) of each top-level function, its doc comment included; None if brackets don't match.
 
     Comments and literals are blanked first, so only brackets of code count.
     """
     code = SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    stack, ends = [], {}
+    stack, closing = [], {}
     for m in re.finditer(r"[()\[\]{}]", code):
         if m[0] in "([{":
             stack.append((m[0], m.start()))
-        elif not stack or stack.pop()[0] != PAIRS[m[0]]:
-            return None
-        elif m[0] == "}" and not stack:
-            ends[m.start()] = True
+        else:
+            if not stack or stack[-1][0] != PAIRS[m[0]]:
+                return None
+            closing[stack.pop()[1]] = m.start()
     if stack or "package" not in code:
         return None
-    closing = sorted(ends)
     rows = source.split("\n")
     found = []
     for m in FUNC.finditer(code):
         first = code.count("\n", 0, m.start())
-        end = next((e for e in closing if e > m.start()), None)
-        following = next((x.start() for x in FUNC.finditer(code, m.end())), len(code))
-        if end is None or end > following:  # declared without a body
-            last = first
-        else:
-            last = code.count("\n", 0, end)
+        last = code.count("\n", 0, _body_end(code, m.end(), closing))
         begin = first
         while begin and rows[begin - 1].lstrip().startswith("//"):
             begin -= 1

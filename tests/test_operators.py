@@ -64,6 +64,17 @@ def test_go_functions():
     assert chunking.go_functions("package x\n") == []
 
 
+@pytest.mark.parametrize("signature", ["F() interface{}", "F() map[string]struct{}", "F(x interface{}) (a struct{ b int }, err error)", "F[T any](x []T) func(T) interface{ M() }", "F(\n\ta int,\n) *T", "(r *R[T]) F() chan<- struct{}", "F() []interface {\n\tM()\n}"])
+def test_go_result_types_with_braces(signature):
+    body = f"func {signature} {{\n\treturn g()\n}}"
+    source = f"package x\n\n{body}\n\nvar y = 1\n"
+    assert chunking.go_functions(source) == [("F", 2, 2 + body.count("\n"))]
+
+
+def test_go_functions_without_a_body():
+    assert chunking.go_functions("package x\nfunc a() int\n\nfunc b() struct{}\nfunc c() {}\nvar m = map[string]int{}\n") == [("a", 1, 1), ("b", 3, 3), ("c", 4, 4)]
+
+
 def test_go_chunks(spark):
     long = "package p\n\nfunc Big() {\n" + "\n".join(f"\tx{i}()" for i in range(100)) + "\n}\n"
     df = spark.createDataFrame([("r", "a.go", "go", GO, 1), ("r", "b.go", "go", long, 2), ("r", "c.go", "go", "func broken( {", 3), ("r", "d.go", "go", None, 4)], FILES)
