@@ -1,4 +1,4 @@
-"""Command line: index, watch, search, eval and collections."""
+"""Command line: index, watch, search, eval, compare and collections."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import sys
 from siltstone import report
 from siltstone.operators import evaluate
 from siltstone.operators.store import Store
-from siltstone.plans import index, search
+from siltstone.plans import evaluation, index, search
 from siltstone.session import local_session, ship_package
 from siltstone.sources import config, golden
 from siltstone.sources.repo import RepoSource
@@ -43,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--type")
     a.add_argument("--subtype")
     a.add_argument("--json", action="store_true")
+    a.add_argument("--answer", action="store_true", help="score answers of the stand-in model, too")
+    a.add_argument("--answer-limit", type=int, default=5)
+    a = sub.add_parser("compare", help="reports of eval --json side by side, with changes against the first")
+    a.add_argument("reports", nargs="+")
+    a.add_argument("--labels", help="list with commas; the files' names if not given")
     a = sub.add_parser("collections", help="list or delete collections")
     a.add_argument("action", choices=["list", "delete"])
     sub.add_parser("version")
@@ -60,6 +65,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session(os.environ.get("SILTSTONE_CORES", "*"))
     ship_package(spark)
     store = Store(spark, os.path.abspath(args.store))
+    if args.command == "compare":
+        labels = search.listed(args.labels) or [os.path.splitext(os.path.basename(p))[0] for p in args.reports]
+        if len(labels) != len(args.reports):
+            raise ValueError(f"{len(labels)} labels for {len(args.reports)} reports")
+        print(report.comparison(evaluate.comparison(golden.reports(spark, [os.path.abspath(p) for p in args.reports])).collect(), labels))
+        return 0
     if args.command == "collections":
         if args.action == "list":
             print("\n".join(store.names()))
@@ -73,12 +84,13 @@ def main(argv: list[str] | None = None) -> int:
 
         def run() -> None:
             files = index.scan(spark, root, os.path.basename(root), settings, languages)
-            print(index.run(spark, store, args.collection, files, languages=languages))
+            print(index.run(spark, store, args.collection, files, languages=languages, repos=[os.path.basename(root)]))
 
         run()
         if args.watch:
             spark.dataSource.register(RepoSource)
-            changes = spark.readStream.format("repo").option("mode", "changes").option("skip_dirs", ",".join(settings.skip_dirs)).load(root)
+            changes = spark.readStream.format("repo").option("mode", "changes").option("state", os.path.join(os.path.abspath(args.store), ".listings")).option("skip_dirs", ",".join(settings.skip_dirs)).load(root)
+            spark.conf.set("spark.sql.shuffle.partitions", "1")  # one key
             watch.follow(changes, run, os.path.join(os.path.abspath(args.store), ".watch"), settings).awaitTermination()
         return 0
     request = search.Request(search.mode_of(args.mode), args.limit, tuple(search.listed(getattr(args, "languages", None))), tuple(search.listed(getattr(args, "repos", None))))
@@ -90,10 +102,9 @@ def main(argv: list[str] | None = None) -> int:
             print(search.generate(search.prompts(found, asked, args.answer_limit), search.echo).first()["text"])
         return 0
     queries = golden.load(spark, args.dataset, args.type, args.subtype)
-    metrics = evaluate.per_query(search.search(spark, store, args.collection, queries.select("query_id", "query"), request), queries).cache()
-    total, kinds = evaluate.aggregate(metrics).first(), evaluate.by_type(metrics).collect()
-    print(report.as_json([total, *kinds]) if args.json else report.evaluation(total, kinds))
-    return 0
+    done = evaluation.run(spark, store, args.collection, queries, request, args.dataset, model=search.echo if args.answer else None, generator="echo", answer_limit=args.answer_limit)
+    print(report.as_json(done) if args.json else report.evaluation(done))
+    return 1 if done["aggregate"]["errors"] else 0
 
 
 if __name__ == "__main__":

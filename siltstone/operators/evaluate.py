@@ -79,6 +79,56 @@ def by_type(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("query_type").agg(*_means())
 
 
+#: Times of a query, in milliseconds: all of it, making its vector, searching.
+TIMES = ("total_ms", "embed_ms", "search_ms")
+
+
+def run_aggregate(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per run from metrics(keys, the columns of per_query, error, TIMES).
+
+    queries, positive, negative and errors count rows; a row with an error counts nowhere else. Means are over positive queries, the pass
+    rate over negative ones; p50 and p95 of each time by nearest rank, over all queries without errors.
+    """
+    good = F.col("error").isNull()
+    positive, negative = good & (F.col("query_type") != "negative"), good & (F.col("query_type") == "negative")
+    mean = lambda c, of: F.coalesce(F.round(F.avg(F.when(of, F.col(c).cast("double"))), 6), F.lit(0.0))
+    place = lambda c, p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN error IS NULL THEN {c} END)")
+    return metrics.groupBy(*keys).agg(
+        F.count("*").alias("queries"),
+        F.count_if(positive).alias("positive"),
+        F.count_if(negative).alias("negative"),
+        F.count_if(~good).alias("errors"),
+        *[mean(c, positive).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr_5", "recall_5", "recall_10")],
+        mean("negative_pass", negative).alias("negative_pass_rate"),
+        *[place(c, p / 100).alias(f"{c[:-3]}_p{p}_ms") for c in TIMES for p in (50, 95)],
+    )
+
+
+#: Rates of the comparison of reports, with where they stand in a report.
+COMPARED = {
+    "hit_1": "aggregate.hit_1",
+    "hit_3": "aggregate.hit_3",
+    "hit_5": "aggregate.hit_5",
+    "mrr_5": "aggregate.mrr_5",
+    "recall_10": "aggregate.recall_10",
+    "navigation_hit_5": "by_type.navigation.hit_5",
+    "concept_hit_5": "by_type.concept.hit_5",
+    "behavior_hit_5": "by_type.behavior.hit_5",
+    "negative_pass": "by_type.negative.negative_pass_rate",
+}
+
+
+def comparison(reports: DataFrame) -> DataFrame:
+    """(position, run_id, mode, dataset, rates, p50_ms, p95_ms, rates' changes) of reports(position, report as JSON text).
+
+    What a report leaves out counts as 0. Changes are in percentage points against the report with the smallest position.
+    """
+    number = lambda path: F.coalesce(F.get_json_object("report", f"$.{path}").cast("double"), F.lit(0.0))
+    text = lambda name: F.coalesce(F.get_json_object("report", f"$.{name}"), F.lit("-")).alias(name)
+    flat = reports.select("position", text("run_id"), text("mode"), text("dataset"), *[number(p).alias(c) for c, p in COMPARED.items()], *[number(f"aggregate.total_{p}_ms").cast("long").alias(f"{p}_ms") for p in ("p50", "p95")])
+    return flat.join(compare(flat, "position", list(COMPARED)).select("position", *[f"{c}_delta" for c in COMPARED]), "position")
+
+
 def percentiles(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
     """(keys, n, p50, p95) by nearest rank; null values are left out."""
     rows = df.select(*keys, value.alias("v")).where("v IS NOT NULL")

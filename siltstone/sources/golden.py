@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.operators.evaluate import invalid_queries
 
@@ -30,6 +32,11 @@ def load(spark: SparkSession, path: str | Path, query_type: str | None = None, s
     return df
 
 
-def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation reports written as JSON, one per file."""
-    return spark.read.json(path, multiLine=True)
+def reports(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(position, report): evaluation reports written as JSON, one per file, in the given order; raises on one that is missing or no JSON object."""
+    parts = [spark.read.text(p, wholetext=True).select(F.lit(n).alias("position"), F.col("value").alias("report")) for n, p in enumerate(paths)]
+    both = reduce(DataFrame.unionByName, parts)
+    bad = both.where("get_json_object(report, '$.aggregate') IS NULL").select("position").collect()  # one row per given path
+    if bad:
+        raise ValueError("no reports: " + ", ".join(paths[r["position"]] for r in bad))
+    return both

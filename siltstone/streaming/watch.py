@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.sources.config import Config
 
@@ -34,15 +36,37 @@ def debounce(events: DataFrame, time: str, keys: list[str], gap: str = GAP, late
     return bursts.select(*keys, "first", "last", "events")
 
 
-def follow(changes: DataFrame, run: Callable[[], None], checkpoint: str, config: Config = Config(), every: str = GAP) -> StreamingQuery:
-    """Calls run once for each batch of relevant changes; a run that fails is logged, and following goes on."""
+def settled(changes: DataFrame, keys: list[str], gap_ms: int = 500) -> DataFrame:
+    """(keys, events) of each burst of a stream, by the time of arrival: given when nothing has come for `gap_ms`.
+
+    Every event starts the wait anew; a burst ends without a later event having to come. Null keys make their own bursts.
+    """
+    kinds = dict(changes.dtypes)
+
+    def burst(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (events,) = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, events)], columns=[*keys, "events"])
+            return
+        came = sum(len(b) for b in rows)
+        state.update(((state.get[0] if state.exists else 0) + came,))
+        state.setTimeoutDuration(gap_ms)
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "events long"])
+    return changes.groupBy(*keys).applyInPandasWithState(burst, schema, "events long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def follow(changes: DataFrame, run: Callable[[], None], checkpoint: str, config: Config = Config(), every: str = GAP, gap_ms: int = 500) -> StreamingQuery:
+    """Calls run once for each burst of relevant changes, when it has settled; a run that fails is logged, and following goes on."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        if df.where(relevant(F.col("file_path"), config)).isEmpty():
+        if not df.count():  # reads every partition, as the state store wants
             return
         try:
             run()
         except Exception:
             log.exception("indexing run %s failed", epoch)
 
-    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    events = changes.where(relevant(F.col("file_path"), config)).select(F.lit("all").alias("source"), "file_path")
+    return settled(events, ["source"], gap_ms).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -73,12 +73,80 @@ def test_repo_scan_and_index(spark, tmp_path):
     assert (counts["changed"], counts["stale"], counts["unchanged"]) == (1, 1, 2)
     rows = store.read("c").collect()
     assert {r.file_path for r in rows} == {"a.py", "pkg/__init__.py", "m.go"} and {r.name for r in rows if r.file_path == "a.py"} == {"g"}
-    assert index.postings(store.read("c"), "chunk_id").count() > 0
-    with pytest.raises(ValueError):
-        store.publish("c", store.read("c"), 9)
+    assert store.terms("c").where("token = 'def'").count() == 1 and store.frequencies("c")[1].first().n == len(rows)
+    with pytest.raises(ValueError, match="8 numbers"):
+        store.publish("c", store.read("c"), 9, ["repo"])
+    for path in ("a.py", "pkg/__init__.py", "m.go"):
+        os.remove(os.path.join(root, path))
+    emptied = index.run(spark, store, "c", index.scan(spark, root, "repo"), dim=8, repos=["repo"])
+    assert emptied["stale"] == 3 and store.read("c") is None and store.names() == ["c"]
     assert store.delete("c") and store.names() == []
 
 
+def chunk_rows(spark, rows):
+    """(chunk_id, repo, language, text) as chunks with vectors of two numbers."""
+    df = spark.createDataFrame(rows, "chunk_id string, repo string, language string, enriched_text string")
+    return df.select("*", F.concat("chunk_id", F.lit(".x")).alias("file_path"), F.lit("h").alias("file_hash"), F.lit("v").alias("index_version"), F.current_timestamp().alias("indexed_at"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("dense"))
+
+
+def test_store_rewrites_only_what_changed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish("c", chunk_rows(spark, [("1", "a", "go", "alpha"), ("2", "b", "go", "alpha beta"), ("3", None, "py", "gamma")]), 2, ["a", "b", None])
+    first = store.properties("c")
+    store.publish("c", chunk_rows(spark, [("4", "b", "py", "delta")]), 2, ["b"])
+    now = store.properties("c")
+    assert now["repos"]["a"] == now["repos"][""] == first["repos"]["a"] != now["repos"]["b"]
+    assert {r.chunk_id for r in store.read("c").collect()} == {"1", "3", "4"}
+    assert {r.chunk_id for r in store.read("c", (None,)).collect()} == {"3"} and {r.chunk_id for r in store.read("c", ("b", "a"), ("py",)).collect()} == {"4"}
+    idfs, stats = store.frequencies("c")
+    assert {r.token: r.df for r in idfs.collect()} == {"alpha": 1, "gamma": 1, "gamma": 1, "delta": 1} and (stats.first().n, stats.first().avgdl) == (3, 1.0)
+    store.upsert("c", chunk_rows(spark, [("4", "b", "py", "epsilon"), ("5", "b", "go", "zeta")]), 2)
+    assert {(r.chunk_id, r.enriched_text) for r in store.read("c", ("b",)).collect()} == {("4", "epsilon"), ("5", "zeta")}
+    # Two pointers stay, and what they name; nothing else.
+    assert len(store._pointers("c")) == 2 and len(os.listdir(tmp_path / "s" / "c" / "chunks")) == 3
+    for bad in ([("6", "b", "go", "x"), ("6", "b", "go", "y")], [(None, "b", "go", "x")]):
+        with pytest.raises(ValueError, match="nothing was published"):
+            store.publish("c", chunk_rows(spark, bad), 2, ["b"])
+    assert store.read("c", ("b",)).count() == 2
+
+
+def test_store_slots(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    (tmp_path / "s" / "old").mkdir(parents=True)
+    (tmp_path / "s" / "old" / "CURRENT").write_text("{}")
+    with pytest.raises(ValueError, match="earlier version"):
+        store.ensure("old", 3)
+    for slots, message in ((["dense"], "no sparse slot"), ([], "no dense slot"), (["dense", "sparse"], "4 numbers, not 3")):
+        (tmp_path / "s" / "c").mkdir(exist_ok=True)
+        store._point("c", {"schema": 2, "slots": slots, "dense_dim": 4, "repos": {}, "corpus": ""})
+        with pytest.raises(ValueError, match=message):
+            store.ensure("c", 3)
+    store.ensure("c", 4)
+    store.ensure("none", 4)
+
+
+def test_a_writer_that_dies_leaves_what_was(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish("c", chunk_rows(spark, [("1", "a", "go", "alpha")]), 2, ["a"])
+    monkeypatch.setattr(Store, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.publish("c", chunk_rows(spark, [("2", "a", "go", "beta")]), 2, ["a"])
+    assert [r.chunk_id for r in Store(spark, str(tmp_path / "s")).read("c").collect()] == ["1"]
+
+
+def test_index_infers_the_dimension_and_checks_vectors_first(spark, tmp_path):
+    root = str(tmp_path / "r")
+    tree(root, {"a.py": "def f():\n    pass\n"})
+    store = Store(spark, str(tmp_path / "s"))
+    index.run(spark, store, "c", index.scan(spark, root, "r"), embed=lambda text: F.array(*[F.lit(0.5)] * 5).cast("array<float>"))
+    assert store.properties("c")["dense_dim"] == 5
+    tree(root, {"b.py": "y = 1\n"})
+    for embed, problem in ((lambda text: F.lit(None).cast("array<float>"), "empty vector"), (lambda text: F.array(F.lit(1.0)).cast("array<float>"), "unexpected dimension")):
+        with pytest.raises(ValueError, match=problem):
+            index.run(spark, store, "c", index.scan(spark, root, "r"), embed=embed)
+    assert {r.file_path for r in store.read("c").collect()} == {"a.py"}
+
+
 def test_root_with_a_skipped_name(spark, tmp_path):
     tree(str(tmp_path / "build"), {"a.py": "x\n"})
     assert index.scan(spark, str(tmp_path / "build"), "r").count() == 0
@@ -100,7 +168,7 @@ def test_follow(spark, tmp_path):
     root = str(tmp_path / "repo")
     tree(root, {"a.py": "x\n"})
     spark.dataSource.register(RepoSource)
-    changes = spark.readStream.format("repo").option("mode", "changes").load(root)
+    changes = spark.readStream.format("repo").option("mode", "changes").option("state", str(tmp_path / "listings")).load(root)
     runs = []
 
     def run():
@@ -108,7 +176,8 @@ def test_follow(spark, tmp_path):
         if len(runs) == 1:
             raise OSError("logged, not fatal")
 
-    q = watch.follow(changes, run, str(tmp_path / "checkpoint"), every="200 milliseconds")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    q = watch.follow(changes, run, str(tmp_path / "checkpoint"), every="200 milliseconds", gap_ms=400)
     try:
         for step in range(2):
             end = time.time() + 40
@@ -116,5 +185,37 @@ def test_follow(spark, tmp_path):
                 time.sleep(0.2)
             tree(root, {f"n{step}.py": "y\n"})
         assert len(runs) >= 2 and q.isActive
+        assert len(os.listdir(tmp_path / "listings")) <= 4
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_bursts_settle_without_a_later_event(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    stream = watch.settled(spark.readStream.schema("repo string").text(str(inbox)).toDF("repo"), ["repo"], 1500)
+    q = stream.writeStream.format("memory").queryName("bursts").outputMode("append").trigger(processingTime="100 milliseconds").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for name, lines in (("1", "a\nb\n"), ("2", "a\n")):
+            (tmp_path / name).write_text(lines)
+            os.rename(tmp_path / name, inbox / name)
+        end = time.time() + 60
+        while spark.table("bursts").count() < 2 and time.time() < end:
+            time.sleep(0.3)
+        assert sum(r.events for r in spark.table("bursts").collect()) == 3 and {r.repo for r in spark.table("bursts").collect()} == {"a", "b"}
     finally:
         q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_deep_folders_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    from siltstone.sources import repo
+
+    root = str(tmp_path / "deep")
+    tree(root, {f"d{i}/e{j}/f.py": "x\n" for i in range(3) for j in range(3)} | {"top.py": "y\n"})
+    monkeypatch.setattr(repo, "OPENED", 2)
+    parts = repo.RepoReader(root, []).partitions()
+    assert {f for p in parts for f in p.folders} == {"d1", "d2", "d0/e0", "d0/e1", "d0/e2"}
+    assert sorted(r[0] for p in parts for r in repo.RepoReader(root, []).read(p)) == sorted([f"d{i}/e{j}/f.py" for i in range(3) for j in range(3)] + ["top.py"])
