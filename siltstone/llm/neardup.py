@@ -184,16 +184,16 @@ def similar_pairs(reps: DataFrame, df: DataFrame, id_col: str, text_col: str, ho
     return both.where(F.col("similarity") >= how.threshold)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with a link, by alternating large-star and small-star.
 
     edges(a, b); a component is named after its smallest node. Each step is grouped per node with
     combined minima only, so no neighbourhood is ever gathered in one task; steps are written to
-    the shared folder. Ends when a round changes nothing.
+    the shared folder. Goes on until a round changes nothing.
     """
     now = materialize(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), "star")
     before = None
-    for _ in range(rounds):
+    while True:
         # Large-star: every larger neighbour is linked with the smallest of the node's own neighbourhood.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -17,8 +17,6 @@ from siltstone.session import materialize
 PART = 20_000
 #: A container this full is done.
 FULL = 0.995
-#: Most levels of the tree; each but the last must save a twentieth of the open containers.
-LEVELS = 12
 
 BINS = "bin string, fill long, members array<struct<id:long,piece:int>>"
 
@@ -76,18 +74,18 @@ def pack(items: DataFrame, capacity: int, part: int = PART, full: float = FULL)
     )
     bins = pieces.select(F.concat_ws("-", "id", "piece").alias("bin"), "fill", F.array(F.struct("id", "piece")).alias("members"))
     done: list[DataFrame] = []
-    before = None
-    for level in range(LEVELS):
-        there = bins.count()
-        if level and (not there or there > 0.95 * before or before <= 1):
-            break
-        before = there
+    level = 0
+    there = bins.count()
+    while there:
         parts = max(1, -(-there // part))
         key = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(parts)).alias("part")
         packed = materialize(bins.select("*", key).groupBy("part").applyInPandas(_level(capacity, level), BINS), "bins")
         done.append(packed.where(F.col("fill") >= full * capacity))
         bins = packed.where(F.col("fill") < full * capacity)
-        if parts == 1:
+        saved = there - packed.count()
+        there, level = bins.count(), level + 1
+        # One part has met itself whole; a level of several that saved nothing would be the last one, too.
+        if parts == 1 or not saved:
             break
     done.append(bins)
     held = done[0]

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: Lines on each side of a place whose words are compared.
 REACH = 6
-#: A cut is looked for in the last part of a window only, so that pieces don't get small.
-EARLIEST = 0.5
+#: A piece is at least this many times as long as the overlap, so that pieces move on.
+LEAST = 2
 
 
 @dataclass(frozen=True)
@@ -118,16 +118,20 @@ def pieces(text: str, limits: Limits) -> list[tuple[int, int]]:
             out.append((start, len(text)))
             return out
         hi = bisect_right(ends, most) - 1
-        floor = max(done, start + int((most - start) * EARLIEST))
-        places = [i for i in range(bisect_right(ends, floor), hi + 1)]
+        # The whole window is searched, but for what would be hardly more than overlap.
+        floor = start + LEAST * limits.overlap_chars
+        if n_lines > limits.lines:
+            at = fed + LEAST * limits.overlap_lines - 1
+            floor = feeds[at] + 1 if at < len(feeds) and feeds[at] < most else floor
+        places = range(bisect_right(ends, max(done, min(floor, most - 1))), hi + 1)
         if places:
-            # Deepest valley; then blank line or lesser indentation after it; then the latest.
-            def merit(i: int) -> tuple[float, int, int]:
+            # Deepest valley; among equal ones a blank line, then lesser indentation after it; then the latest.
+            def merit(i: int) -> tuple[bool, float, bool, int, int]:
                 nxt = text[ends[i] : ends[i] + 200]
                 blank = nxt.startswith(("\n", "\r\n"))
                 indent = len(nxt) - len(nxt.lstrip(" \t"))
                 whole = text[ends[i] - 1] == "\n"
-                return (whole, round(depth[i + 1] if i + 1 < len(depth) else 0.0, 6) + (0.25 if blank else 0.0), -indent, i)
+                return (whole, round(depth[i + 1] if i + 1 < len(depth) else 0.0, 6), blank, -indent, i)
 
             cut = ends[max(places, key=merit)]
         else:
