@@ -1,7 +1,8 @@
 """Broken prompt and response pairs: each defective pair with its kind of defect.
 
 * copy: a suffix automaton of the prompt is walked along the response; what it covers is copied.
-* refusal: an automaton of refusal phrases reads each sentence; the whole response must decline.
+* refusal: an automaton of parts of refusals (who speaks, a denial, what an answer would do, the sources) reads each
+  sentence; rules say which parts must follow each other. The whole response must decline.
 * truncated: stacks of delimiters (code blocks, code spans, citations, list items) must be closed, and a
   response without a final mark must end as sentences of the whole corpus end, be it with one word or in Japanese;
   code spans, paths, headings, quotations, list items of one word and whole responses of one word are complete.
@@ -14,7 +15,6 @@ One defect is given for each pair, the first of empty, copy, refusal, truncated,
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,47 +33,90 @@ STOP_WORDS = {
     "fr": "le la les et ou ne pas est sont était a été être dans en sur à au aux pour de du des avec il elle ce cette ces par si que qui quoi où comment pourquoi quel quelle un une plus on je son sa ses leur tant après avant jusqu'à même très se",
     "es": "el la los las y o no es son fue ser en a al para de del con lo este esta esto por si que qué quién dónde cómo cuál un una más se su sus cuando también además sólo sin pero hay debería donde después cada según porque sobre entre",
     "pt": "o a os as e ou não é são foi ser em no na nos nas ao para de do da dos das com este esta isto por se que quem onde como qual um uma mais seu sua quando também só sem mas há então após cada pela pelo você depois",
+    "nl": "het een niet ook zijn worden wordt maar dat voor aan uit naar bij deze dit waar wanneer omdat hebben heeft geen zonder welke hoe waarom wij zij nog wel dan",
+    "it": "il gli che della delle degli dei non più sono essere perché quando questo questa anche dal dalla nel nella viene dove quale come dopo prima senza sui sulla ogni stato",
+    "sv": "och inte är att som det den för på av till från när var hur varför också efter innan utan eller har hade kan ska denna detta vilken alla",
     "pl": "i lub nie jest są był była było w na do dla od z ze to ten ta te przez jeśli że kto gdzie jak dlaczego który która które się po przed oraz ale już tylko więc co czy może gdy jej jego też będzie została żeby dziś każdym",
 }
-LETTERS = {"de": "äöüß", "es": "ñ¿¡", "pt": "ãõ", "pl": "ąęłńśźżć", "fr": "êèçàùœîôë"}
-#: Phrases that decline by themselves.
-DECLINE = """
-cannot answer|can't answer|can not answer|unable to answer|not able to answer|not able to help|unable to help|cannot help|can't help|i don't know|i do not know
-i'm not sure|decline to|stays unanswered|remains unanswered|left unanswered|no conclusion is offered|would be a guess|without a basis|no basis for|before i could say
-i can't determine|i cannot determine|i can't tell|i cannot tell|impossible to tell|not possible to answer|not possible to tell|i can't say|i cannot say|i could only guess
-not enough information|insufficient information|not enough context|no relevant information|prefer not to|i won't guess|rather not|not speculate|no speculation|not going to guess|avoid guessing
-unable to determine|unable to say|unable to tell|unable to find|unable to help|unable to locate|unable to confirm|cannot say|cannot be answered|can't be answered|cannot be determined|can't be determined|i can't help|i can't confirm|i cannot confirm|i cannot help|i can't provide|i cannot provide
-i have no way|no way to know|no way of knowing|nothing to go on|not in a position|i must refuse|i have to refuse|have to pass|i must pass|can't give an answer|cannot give an answer|no answer can be given|i won't answer|i will not answer|i'm afraid i|i could not find an answer|i couldn't find an answer|leaves me unable|leave this open|hesitate to
-nicht beantworten|keine aussage|nicht spekulieren|kann ich nicht sagen|lässt sich nicht sagen|keine auskunft|nicht beurteilen|muss ich passen|nicht raten|weiß ich nicht|ich weiß es nicht|keine antwort geben|nicht weiterhelfen|nichts dazu sagen|reichen nicht aus
-pas répondre|ne rien affirmer|ne pas deviner|ne pas spéculer|impossible de savoir|je ne saurais|je ne peux rien dire|je ne sais pas|impossible de répondre|ne peux pas vous aider|impossible de dire|pas assez d'informations
-no puedo responder|no dar una respuesta|no especular|no adivinar|no sabría|imposible saber|no me es posible|no lo sé|no es posible responder|no puedo ayudar|no hay suficiente información|no puedo decir|prefiero no
-não posso responder|não adivinhar|não especular|não consigo responder|impossível saber|não saberia|não posso dizer|não sei|não é possível responder|não posso ajudar|não há informação suficiente|prefiro não
-nie mogę odpowiedzieć|nie zgadywać|nie spekulować|nie jestem w stanie|trudno powiedzieć|nie mogę powiedzieć|nie wiem|nie potrafię odpowiedzieć|nie mogę pomóc|nie da się odpowiedzieć|za mało informacji
-ответить я не могу|не могу ответить|не стану гадать|не буду гадать|не могу сказать|нельзя сказать|не буду строить|не знаю|не могу помочь|невозможно ответить|недостаточно информации|не берусь
-お答えできません|答えられません|回答できません|わかりません|分かりません|判断できません|お答えできない|お答えを控え|回答を控え|特定できません|推測は控え|お手伝いできません
-"""
-#: Phrases that decline where the same sentence names the sources.
-LACK = """
-do not contain|don't contain|does not contain|doesn't contain|not provided|not implemented in|not found in|no mention of|does not exist in|do not include|does not include
-do not mention|does not mention|nothing in|not covered|not cover|no trace of|no sign of|missing from|absent from|don't mention|never mention|never touch|none of the|nothing about|says nothing|say nothing|do not relate|do not cover|does not cover|stops before|outside what|no information|not shown in|not part of
-sagen nichts|nichts über|nicht enthalten|erwähnen|kein hinweis
-ne parlent pas|ne mentionne|ne contien|rien sur
-no mencionan|no contienen|no hablan|nada sobre
-não falam|não mencionam|não contêm|nada sobre
-nie wspominają|nie zawierają|nic o
-ничего нет|не упомина|не содерж|нет ничего
-記載がありません|含まれていません|見つかりません|言及がありません|ありません|書かれていません
-"""
-SOURCES = """
-chunk|excerpt|context|snippet|material|was handed|was given|were given|provided text|provided code|supplied|listing|passage|retrieved|these files|provided files|given files|these lines|sources
-ausschnitt|auszüge|kontext|dateien
-extrait|contexte|fichiers fournis
-fragmento|contexto|extracto
-trecho
-fragmenty|kontekst
-фрагмент|контекст|отрыв
-抜粋|コンテキスト|断片|チャンク|文脈
-"""
+LETTERS = {"de": "äöüß", "es": "ñ¿¡", "pt": "ãõ", "pl": "ąęłńśźżć", "fr": "êèçàùœîôë", "it": "ìò"}
+#: Letters of scripts that name a language, or a group of languages, by themselves.
+SCRIPTS = {"ja": "\u3040-\u30ff\uff66-\uff9f", "ru": "\u0400-\u04ff", "el": "\u0370-\u03ff", "he": "\u0590-\u05ff", "ar": "\u0600-\u06ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f", "ko": "\uac00-\ud7a3"}
+HAN = "\u3400-\u9fff"
+# Parts of refusals, by language: a sentence declines if parts of certain kinds follow each other closely (see RULES).
+# Each part is the beginning of one or more words.
+PARTS = {
+    # who speaks
+    "self": """
+        i |i'm |i'd |i've |i'll |we |my |leaves me|for me|this assistant
+        ich |mir |wir |man |m'|lässt sich |lassen sich |je |j'|nous |yo |me |nos |lo que |eu |mim |nós |posso |consigo |prefiro |quero |puedo |quiero |prefiero |consigo |ja |mi |mnie |da się |mam |wolę |mogę |potrafię |umiem |я |мне |мы |私|こちら
+        """,
+    # what keeps it from answering
+    "not": """
+        cannot |can't |can not |could not |couldn't |won't |will not |would not |wouldn't |shall not |unable|not able|don't |do not |didn't |did not |am not |'m not |not going|not in a position|not willing|refuse|declin|rather not|prefer not|hesitat|have to pass|must pass|no way |no means|no idea|no clue|not sure|not certain|unsure|uncertain|refrain|abstain|avoid|impossible|not possible|hard to |difficult to |unclear|beyond what|lack |too little|too few|without |none of|never |nothing |isn't |aren't |doesn't |wasn't |weren't |hasn't |haven't |outside |beyond |irresponsible|missing |insufficient|before i |until i |unless i |instead of |no basis|no grounds|no conclusion|nothing to |not |no 
+        nicht|kein|fehl|unmöglich|außerstande|weiger|passen |verzicht|unklar|vermag
+        pas |ne |impossible|incapable|refus|abstien|aucun|rien |saurais
+        no |imposible|incapaz|neg|absten|prefiero no|sin |ningun|desconozco|tampoco 
+        não |nao |impossível|incapaz|recus|abst|prefiro não|sem |nenhum|desconheço
+        nie |niemożliw|odmawia|trudno|brak|bez |żadn
+        не |нельзя|невозможно|отказ|воздерж|нет |без |затрудн
+        ません|できない|できかね|控え|かねます|不可能|難し|不明
+        """,
+    # what an answer would do
+    "answer": """
+        answer|say |say.|say,|say whe|say wha|say how|say why|tell|determin|know|confirm|help|provid|respon|reply|comment|speculat|guess|find |find.|locate|assist|give |offer|verify|establish|infer|conclu|identify|explain|work out|work that out|make out|judge|decide|point to|resolv|address|be sure|be certain|pin down|pin that down|settle|figure|go on|go by|the information|the context|the details|enough to|evidence to|state |vouch|claim|assert|certain|sure |sure.|sure,|idea|clue
+        antwort|beantwort|sagen|wissen|weiß|helfen|weiterhelfen|raten|spekulier|beurteil|auskunft|aussage|bestätig|ermitteln|bestimmen|erklär|mutmaß|vermut|klären|einschätz|nötigen|informationen|angaben|feststell|dazu 
+        répon|dire |dire.|dire,|savoir|sais |sais.|aider|devin|spécul|affirm|déterminer|confirmer|conclu|expliquer|trouver|fournir|prononcer|avancer
+        respond|respuesta|decir|sé |sé.|sabría|saber|ayudar|adivin|especul|determinar|confirmar|afirmar|explicar|encontrar|conclu|asegurar|precisar
+        respond|resposta|dizer|sei |sei.|saberia|saber|ajudar|adivin|especul|determinar|confirmar|afirmar|explicar|encontrar|conclu|garantir
+        odpowied|odpowiad|powiedzieć|wiem|pomóc|zgad|spekul|określić|ustalić|potwierdzić|stwierdzić|wyjaśni|stanie |potrafi|informac|wystarcz|danych
+        ответ|отвеч|сказать|знаю|помочь|гада|спекул|строить|определить|подтвердить|утвержд|объясн|сообщ|установ|предпол|судить|берусь
+        答え|回答|わかり|分かり|判断|特定|推測|手伝|お伝え|説明|確認|断定|申し上げ
+        """,
+    # said of an answer that isn't given
+    "open": """
+        be answered|be determined|be told|be known|be confirmed|be said|be settled|be resolved|be established|be inferred|unanswered|making things up|making it up|making this up|making something up|make something up|invent|fabricat|stays open|remains open|leave this open|leave it open|leave that open|be a guess|be guess|be speculation|guesswork|pure speculation|before i could say|answer can be given|answer is possible
+        beantworten lässt|beantwortet werden|bleibt offen|bleibt unbeantwortet|geraten|reine spekulation|lässt sich
+        reste ouverte|reste sans réponse|serait deviner|serait une supposition|sería adivinar|sería una suposición|queda abierta|queda sin respuesta|seria adivinh|seria um palpite|fica em aberto|fica sem resposta|pozostaje otwart|pozostaje bez odpowiedzi|byłoby zgad|остаётся без ответа|остается без ответа|остаётся открыт|остается открыт|было бы догадк|было бы гадани
+        """,
+    # that something isn't in the sources
+    "lack": """
+        contain|include|mention|provid|implemented in|found in|exist in|cover|touch|relate|show|describ|reveal|clear|hold|obvious|say|says|said|give|offer|explain|defin|address|indicat|discuss|specif|refer|information|detail|evidence|trace|sign of|hint|clue|enough|insufficient|missing|absent|none of|nothing|stops before|outside|part of|in the |in what |in these |in those |in any |support|answer|reach|tell|speak|help|point|basis|relevant|documented|present
+        enthalt|enthält|erwähn|hinweis|sagen|sagt|reicht|reichen|zeig|beschreib|information|angabe|genüg|steht|finde|hervor|über
+        parl|mentionn|contien|rien|information|indiqu|montr|précis|décri|suffi|évoqu|trouv|permet
+        menciona|contien|habla|nada|información|indica|muestra|describe|basta|sufic|explica|permite|aparece
+        fala|menciona|contê|contém|nada|informa|indica|mostra|descreve|basta|sufic|explica|permite|aparece
+        wspomina|zawiera|nic |informac|wskazuj|pokazuj|opisuj|mało|wystarcz|wynika|mówi|ma 
+        ничего|упомина|содерж|информац|указан|показ|описан|хватает|достаточ|следует|говор|сказано|есть
+        記載|含ま|見つか|言及|あり|書かれ|示さ|触れ|情報|足り
+        """,
+    # words that turn the sources down by themselves
+    "none": """
+        nothing|no |none|neither|kein|nichts|rien|aucun|nada|no hay|ningun|nenhum|nic |żadn|brak|ничего|нет |ません|ない
+        """,
+    # a refusal by itself, where somebody speaks
+    "refuse": """
+        declin|have to pass|must pass|refuse to|have to refuse|must refuse|abstain|refrain|no comment|no idea|no clue|passen |weigere|enthalte|m'abstiens|refuse de|me abstengo|abstenho|odmawiam|воздержусь|отказываюсь|控えさせ|控えます
+        """,
+    "source": """
+        chunk|excerpt|context|snippet|material|was handed|was given|were given|am given|been given|i have |i was shown|i can see|provided|supplied|listing|passage|retrieved|these files|given files|these lines|sources|what you sent|what you shared|the code shown|above|at hand|in front of me
+        ausschnitt|auszüge|auszug|kontext|dateien|vorliegend|unterlagen|gezeigte|mir vorlieg
+        extrait|contexte|fichiers|passages|fournis
+        fragmento|contexto|extracto|archivos|proporcion
+        trecho|contexto|arquivos|fornecid
+        fragment|kontekst|plik|podan|dostarcz
+        фрагмент|контекст|отрыв|предоставл|файл|приведённ|приведенн
+        抜粋|コンテキスト|断片|チャンク|文脈|提示され|与えられ|資料
+        """,
+}
+#: Kinds that must follow each other, each beginning at most this many characters after the one before began.
+RULES = (("self", "not", "answer"), ("self", "answer", "not"), ("not", "self", "answer"), ("not", "answer", "open"), ("self", "open"), ("not", "open"), ("open", "not"), ("self", "refuse"))
+NEAR = 60
+#: A denial that comes after the verb comes this soon.
+NEXT = 18
+#: What may stand before a denial that opens a sentence.
+OPENING = re.compile(r"(?:[\w' ]{1,25}, )?")
+#: In these languages the denial ends the sentence, or the speaker goes unnamed.
+UNNAMED = re.compile(r"[ぁ-ヿ一-鿿]|^(?:no|não|nie|не|nao|on |brak|trudno|нельзя|невозможно|imposible|impossível|impossible|niemożliw|prefiero|prefiro|desconozco|desconheço)\b")
 #: A sentence of these neither answers nor declines beside one that declines.
 POLITE = "sorry|please|unfortunately|tut mir leid|entschuldig|bitte|désolé|veuillez|lo siento|por favor|desculp|przykro|przepraszam|proszę|извините|пожалуйста|申し訳|すみません"
 #: Words in which a prompt or a response wraps a question that it only repeats.
@@ -154,12 +197,23 @@ def _wrapping() -> SuffixAutomaton:
     return SuffixAutomaton(" " + " ".join(WORD.findall(WRAPPING)) + " ")
 
 
+#: Characters of a response that are looked at first for a word that the prompt lacks.
+BEGINNING = 64
+
+
 def is_copy(prompt: str, text: str) -> bool:
     """The response's words come from the prompt or from wrapping words, but for a twelfth of the letters at most."""
     said, asked = _plain(text), _plain(prompt)
     if not said:
         return False
-    marks = _automaton(f" {asked} ").covered(f" {said} ", min(5, len(asked) + 2))[1:-1]
+    least = min(5, len(asked) + 2)
+    if len(said) > BEGINNING:
+        # A new word is enough to tell, and most answers have one soon; marks of a word depend on no more than `least` characters after it.
+        begin = f" {said[:BEGINNING]}"
+        marks, own = _automaton(f" {asked} ").covered(begin, least)[1:], _wrapping().covered(begin, 3)[1:]
+        if any(m.end() + least <= BEGINNING and not any(marks[m.start() : m.end()]) and not any(own[m.start() : m.end()]) for m in WORD.finditer(said, 0, BEGINNING)):
+            return False
+    marks = _automaton(f" {asked} ").covered(f" {said} ", least)[1:-1]
     if sum(marks) < 0.5 * min(len(said), len(asked)):
         return False
     own = _wrapping().covered(f" {said} ", 3)[1:-1]
@@ -170,19 +224,58 @@ def is_copy(prompt: str, text: str) -> bool:
 
 
 def _phrases(text: str) -> list[str]:
-    return [p.strip() for p in re.split(r"[|\n]", text) if p.strip()]
+    return [p.casefold() for line in text.strip("\n").split("\n") for p in line.lstrip().split("|") if p.strip()]
 
 
 @lru_cache(1)
 def _refusals() -> ahocorasick.Automaton:
+    """All parts with their kinds."""
     a = ahocorasick.Automaton()
-    for kind, text in (("decline", DECLINE), ("lack", LACK), ("source", SOURCES), ("polite", POLITE)):
+    kinds: dict[str, list[str]] = {}
+    for kind, text in (*PARTS.items(), ("polite", POLITE)):
         for p in _phrases(text):
-            a.add_word(p, kind)
+            kinds.setdefault(p, []).append(kind)
+    for p, own in kinds.items():
+        a.add_word(p, (len(p), tuple(own)))
     a.make_automaton()
     return a
 
 
+def _parts(sentence: str) -> list[tuple[int, str]]:
+    """(place, kind) of the parts of refusals in a sentence in lower case; parts begin where words do."""
+    text = f" {sentence} "
+    found = []
+    for end, (size, kinds) in _refusals().iter(text):
+        at = end - size + 1
+        before = text[at - 1]
+        if not (before.isalnum() and before < "\u3000" and text[at].isalnum()):
+            found += [(at, kind) for kind in kinds]
+    return sorted(found)
+
+
+def _follow(parts: list[tuple[int, str]], rule: tuple[str, ...], near: int = NEAR) -> bool:
+    """Whether parts of the rule's kinds follow each other closely."""
+    ends = [at for at, kind in parts if kind == rule[0]]
+    for kind in rule[1:]:
+        ends = [at for at, k in parts if k == kind and any(e < at <= e + near for e in ends)]
+    return bool(ends)
+
+
+def declines(sentence: str) -> bool | None:
+    """Whether a sentence (in lower case) declines; None if it neither declines nor answers: it is polite, or speaks of the sources only."""
+    parts = _parts(sentence)
+    kinds = {k for _, k in parts}
+    if any(_follow(parts, r) for r in RULES):
+        return True
+    if {"lack", "source"} <= kinds and (_follow(parts, ("not", "lack")) or _follow(parts, ("lack", "none"), NEXT)):
+        return True
+    # Without a speaker: "Unable to tell", "No sé", and languages that leave it out.
+    first = min((at for at, k in parts if k == "not"), default=len(sentence))
+    if ({"answer", "refuse"} & kinds) and (first in (1, OPENING.match(sentence).end() + 1) and (_follow(parts, ("not", "answer")) or "refuse" in kinds) or UNNAMED.search(sentence) and (_follow(parts, ("answer", "not")) or _follow(parts, ("not", "answer")))):
+        return True
+    return None if kinds & {"source", "polite"} else False
+
+
 def prose(text: str, spans: str = " `x` ") -> str:
     """Text without code blocks, with `spans` for code spans, without citations and quotations."""
     text = re.sub(r"```.*?(?:```|\Z)", "\n", text, flags=re.S)
@@ -199,12 +292,10 @@ def is_refusal(prompt: str, text: str) -> bool:
     """At least one sentence declines, and none of the others answers."""
     asked, declined = _plain(prompt), False
     for s in sentences(prose(text)):
-        low = s.casefold().replace("’", "'")
-        kinds = {kind for _, kind in _refusals().iter(low)}
-        if "decline" in kinds or {"lack", "source"} <= kinds:
-            declined = True
-        elif not kinds & {"source", "polite"} and _plain(s) != asked:
+        said = declines(s.casefold().replace("’", "'"))
+        if said is False and _plain(s) != asked:
             return False
+        declined = declined or bool(said)
     return declined
 
 
@@ -265,29 +356,46 @@ def _votes() -> dict[str, dict[str, float]]:
     return votes
 
 
+NAMES = re.compile(r"[._/\\]\w|[a-z][A-Z]|[0-9]")
+LETTERED = {lang: re.compile(f"[{marks}]") for lang, marks in LETTERS.items()}
+SCRIPTED = {lang: re.compile(f"[{marks}]") for lang, marks in SCRIPTS.items()}
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+HANZI = re.compile(f"[{HAN}]")
+
+
+@lru_cache(65_536)
 def language(sentence: str) -> tuple[str | None, int]:
     """(language, words) of a sentence without names; None if the votes are even."""
-    kana = len(re.findall(rf"[{CJK}]", sentence))
-    cyrillic = len(re.findall(r"[Ѐ-ӿ]", sentence))
-    text = re.sub(r"\S*(?:[._/\\]\w|[a-z][A-Z]|[0-9])\S*", " ", sentence)
-    words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", text.replace("’", "'").lower())
-    letters = sum(map(len, words)) or 1
-    if kana > 0.3 * letters:
-        return "ja", max(1, kana // 2)
-    if cyrillic > 0.3 * letters:
-        return "ru", len(words)
-    score: Counter[str] = Counter()
+    plain = sentence.isascii()
+    text = " ".join(w for w in sentence.split() if not NAMES.search(w))
+    words = TOKEN.findall(text.replace("’", "'").lower())
+    if not plain:
+        letters = sum(map(len, words)) or 1
+        counts = {lang: len(rx.findall(sentence)) for lang, rx in SCRIPTED.items()}
+        han = len(HANZI.findall(sentence))
+        lang = max(counts, key=counts.__getitem__)
+        if counts["ja"] and counts["ja"] + han > 0.3 * letters:
+            return "ja", max(1, (counts["ja"] + han) // 2)
+        if han > 0.3 * letters:
+            return "zh", max(1, han // 2)
+        if counts[lang] > 0.3 * letters:
+            return lang, len(words)
+    score: dict[str, float] = {}
+    votes = _votes()
     for w in words:
-        for lang, v in _votes().get(w, {}).items():
-            score[lang] += v
+        for lang, v in votes.get(w, {}).items():
+            score[lang] = score.get(lang, 0.0) + v
         if "'" in w and w.split("'")[0] in ("l", "d", "n", "qu", "s", "j", "c", "m"):
-            score["fr"] += 1
-    for lang, marks in LETTERS.items():
-        score[lang] += 0.6 * sum(any(c in w for c in marks) for w in words)
-    best = score.most_common(2)
-    if not best or best[0][1] < 0.5 or len(best) > 1 and best[0][1] - best[1][1] < 0.15:
+            score["fr"] = score.get("fr", 0.0) + 1
+    if not plain:
+        marked = [w for w in words if not w.isascii()]
+        for lang, rx in LETTERED.items():
+            if n := sum(rx.search(w) is not None for w in marked):
+                score[lang] = score.get(lang, 0.0) + 0.6 * n
+    best = sorted(score.values(), reverse=True)
+    if not best or best[0] < 0.5 or len(best) > 1 and best[0] - best[1] < 0.15:
         return None, len(words)
-    return best[0][0], len(words)
+    return max(score, key=score.__getitem__), len(words)
 
 
 def is_foreign(prompt: str, text: str) -> bool:
@@ -296,8 +404,9 @@ def is_foreign(prompt: str, text: str) -> bool:
     if asked is None:
         return False
     own = other = 0
+    same = _plain(prompt)
     for s in sentences(prose(text, " ")):
-        if _plain(s) == _plain(prompt):
+        if _plain(s) == same:
             continue
         lang, n = language(s)
         if lang == asked:
@@ -307,6 +416,7 @@ def is_foreign(prompt: str, text: str) -> bool:
     return other > own
 
 
+@lru_cache(16_384)
 def inspect(prompt: str | None, text: str | None, chunks: int) -> tuple[str | None, str | None, bool]:
     """(defect, key of open last words, dangling) of a pair by itself."""
     if text is None or not WORD.search(text):
