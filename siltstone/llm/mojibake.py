@@ -29,8 +29,8 @@ READ = ["cp1252", "latin-1", "cp1250", "iso8859-2", "iso8859-15", "cp1251", "cp1
 RATIO = 8
 #: Different aligned pairs and different near-twins that a transformation needs to be learned.
 VOTES = 2
-#: Rounds of the same mistake that are undone.
-ROUNDS = 4
+#: Words of one skeleton that meet its frequent words in one task; more are split.
+BLOCK = 1000
 REPLACEMENT = "�"
 #: The replacement character, and the control characters from U+0080 but for the line end U+0085.
 LOST = r"[\x{fffd}\x{80}-\x{84}\x{86}-\x{9f}]"
@@ -119,9 +119,12 @@ def learn(words: DataFrame) -> list[tuple[str, str]]:
     Words without any ASCII letter or digit have no skeleton that tells anything and don't vote.
     """
     some = words.where(F.col("skeleton").rlike("[A-Za-z]"))
-    good = some.select("skeleton", F.col("word").alias("good"), F.col("n").alias("often"))
-    bad = some.where(~F.col("word").contains(REPLACEMENT)).select("skeleton", F.col("word").alias("bad"), "n")
-    pairs = bad.join(good, "skeleton").where(F.col("often") >= RATIO * F.col("n")).select("bad", "good", "skeleton")
+    # Each skeleton's words meet its frequent ones only, and short skeletons of many words do so in blocks.
+    frequent = some.where(F.col("n") >= RATIO).select("skeleton", F.col("word").alias("good"), F.col("n").alias("often"))
+    sizes = some.groupBy("skeleton").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("n").alias("top")).where(F.col("top") >= RATIO).drop("top")
+    good = frequent.join(sizes, "skeleton").select("skeleton", "good", "often", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    bad = some.where(~F.col("word").contains(REPLACEMENT)).join(sizes, "skeleton").select("skeleton", F.col("word").alias("bad"), "n", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int").alias("block"))
+    pairs = bad.join(good, ["skeleton", "block"]).where(F.col("often") >= RATIO * F.col("n")).select("bad", "good", "skeleton")
     votes = _spread(pairs, "bad").mapInPandas(vote, "written string, read string, bad string, good string, skeleton string")
     counts = votes.groupBy("written", "read").agg(F.countDistinct("bad", "good").alias("pairs"), F.countDistinct("skeleton").alias("twins"))
     found = counts.where((F.col("pairs") >= VOTES) & (F.col("twins") >= VOTES)).orderBy(F.desc("twins"), F.desc("pairs"), "written", "read").collect()
@@ -138,7 +141,7 @@ def _undo(word: str, ways: list[tuple[str, str]]) -> Iterator[tuple[str, bool]]:
 def _peel(word: str, ways: list[tuple[str, str]]) -> str | None:
     """The word with UTF-8 that was misread put right, as often as it was misread; None if nothing was."""
     now = word
-    for _ in range(ROUNDS):
+    while True:  # each round makes the word shorter
         found = [b for b, strong in _undo(now, ways) if strong] if RUN.search(now) else []
         # Control characters and unassigned ones come out only where another mistake lies beneath.
         nxt = min(found, key=lambda b: sum(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in b), default=None)
