@@ -30,9 +30,12 @@ BROKEN = {
 }
 
 
+VALIDATED = (0, None, None)
+
+
 @pytest.mark.parametrize("language", VALID)
 def test_valid(language):
-    assert Y.inspect(VALID[language], language) == (0, None)
+    assert Y.inspect(VALID[language], language) == VALIDATED
     assert Y.inspect(VALID[language].replace("\n", "\r\n"), language)[0] == 0
 
 
@@ -40,18 +43,19 @@ def test_valid(language):
 def test_broken(language):
     for old, new in BROKEN[language]:
         if old in VALID[language]:
-            cost, fault = Y.inspect(VALID[language].replace(old, new, 1), language)
-            assert cost >= 1 and fault, (old, new)
+            cost, fault, line = Y.inspect(VALID[language].replace(old, new, 1), language)
+            assert cost >= 1 and fault and line >= 1, (old, new)
+            assert Y.inspect(VALID[language].replace(old, new, 1), language, 0)[0] == 1
 
 
 @pytest.mark.parametrize("language", ["javascript", "typescript"])
 def test_templates(language):
     for good in ("`a ${b} c ${f({d: `${e}`})}`", "tag`x${a}`.y / 2", "`${a\n + b}$ {\\` \\${`", "`${/}/.test(a) ? '}' : \"`\"}`", "`${a}` + `${b}`", "`${(x) => { return x\n}}`", "`$${a}`", "`${a, b}`", "`${a /* } */}`"):
-        assert Y.inspect(f"const x = {good};\nlet y = 1\n", language) == (0, None), good
+        assert Y.inspect(f"const x = {good};\nlet y = 1\n", language) == VALIDATED, good
     for bad in ("`${a b}`", "`${f(}`", "`${x +}`", "`${}`", "`${a)}`", "`a ${`${b c}`}`", "`${a}", "`${a"):
-        cost, fault = Y.inspect(f"const x = {bad};\nlet y = 1\n", language)
+        cost, fault, _ = Y.inspect(f"const x = {bad};\nlet y = 1\n", language)
         assert cost >= 1 and fault, bad
-    assert Y.inspect("type T = `a${U}b${'c' | V[]}`;\n", "typescript") == (0, None)
+    assert Y.inspect("type T = `a${U}b${'c' | V[]}`;\n", "typescript") == VALIDATED
 
 
 @pytest.mark.parametrize(
@@ -67,33 +71,57 @@ def test_templates(language):
     ],
 )
 def test_long_statements(language, text):
-    assert Y.inspect(text, language) == (0, None)
+    assert Y.inspect(text, language) == VALIDATED
     last = text.rstrip("\n }")
     assert Y.inspect(last + " = = " + text[len(last) :], language)[0] >= 1
 
 
-def test_faults_that_wider_grammars_take():
-    for bad in ("def f(a=1, b):\n    pass\n", "f(a=1, 2)\n", "f() = 1\n", "f() += 1\n", "x = f'{a b}'\n", "x = 1abc\n"):
-        assert Y.inspect(bad, "python") == (1, "slip") or bad == "x = 1abc\n" and Y.inspect(bad, "python")[0], bad
-    assert Y.inspect("x = 1if y else 0x1F + 1_0.5e-3j + .5\n", "python") == (0, None)
+def test_python_is_held_by_the_chart():
+    """Order of parameters and arguments, what can be assigned to, and the insides of formatted strings; all agree with the compiler."""
+    bad = ["def f(a=1, b):\n    pass\n", "f(a=1, 2)\n", "f() = 1\n", "f() += 1\n", "x = f'{a b}'\n", "x = 1abc\n", "x = f'{a'\n", "x = f'}'\n", "f(**a, *b)\n", "def g(*):\n    pass\n", "1 = x\n", "for f() in x: pass\n", "x = f'{}'\n", "x = f'{y!z}'\n", "del f()\n", "def f(**k, a): pass\n", "def f(/, a): pass\n", "x = f'{a:{b c}}'\n", "f(a=1, *b, c)\n"]
+    good = ["x = f'{a}{b!r:>{w}} {{}} {c=} {d[\"k\"]:%Y-%m-%d}'\n", "x = f'{a['b']}' f\"{x if y else z}\" rf'\\d{n}'\n", "a, *b = c = d[0].e = yield_\n", "x[1:2], (y, z) = f(*a, b, *c, k=1, *d, **e)\n", "def f(a, b=1, /, c=2, *d, e, g=3, **h): pass\n", "def f(*, a, b=1, c): pass\n", "[x for x, (y, *z) in w]\n", "x: int = 3\nself.y: str\n", "x = f\'\'\'\n{a\n + b}\n\'\'\'\n", "print(f\"{x:{'>' if y else '<'}10}\")\n", "lambda *a, b=1, **k: f'{a!r}'\n", "a.b[c] **= 2\n", "(a) = 1\n[b, c] = d\n", "for i, in x: pass\n", "class A(B, metaclass=C): pass\n", "x = 1if y else 0x1F + 1_0.5e-3j + .5\n"]
+    for text in bad:
+        assert Y.inspect(text, "python")[0] >= 1, text
+        with pytest.raises(SyntaxError):
+            compile(text, "f", "exec")
+    for text in good:
+        assert Y.inspect(text, "python") == VALIDATED, text
+        compile(text, "f", "exec")
+
+
+def test_numbers_and_order():
     valid = {"go": "var x = 1i + 0x1p-2 + 1_0.e3\n", "javascript": "let x = 10n + 1..f() + 017 + 1e3 + .5\n", "typescript": "let x = 10n + 1.5\n", "java": "class A { double x = 1_0L + 1.f + .5d + 0xFFL + 1e-3; }\n"}
     for language, text in valid.items():
         text = "package p\n" * (language == "go") + text
-        assert Y.inspect(text, language) == (0, None), language
+        assert Y.inspect(text, language) == VALIDATED, language
         assert Y.inspect(text.replace("= 1", "= 1abc + 1", 1), language)[0] >= 1, language
+    assert Y.inspect("var x = 1\n", "go")[0] == 1 and Y.inspect("", "go") == VALIDATED
+    assert Y.inspect('package p\nvar x = 1\nimport "fmt"\n', "go") == (1, "slip", 3)
+    assert Y.inspect("1 = 2\n", "javascript")[0] and Y.inspect("f() = 2\n", "javascript")[0]
+    assert Y.inspect("a.b = c[d] = e\n[x, y] = [y, x];\n({a} = b)\nthis.x += 1\n", "javascript") == VALIDATED
+
+
+def test_faults_come_from_where_the_edits_are():
+    assert Y.inspect("package p\nfunc f() {\n", "go") == (1, "truncation", 3)
+    assert Y.inspect("a = 1\n<<<<<<< ours\nb = 2\n=======\nb = 3\n>>>>>>> theirs\n", "python")[1:] == ("conflict", 2)
+    assert Y.inspect("package p\r\n\r\n<<<<<<< ours\r\nvar b = 2\r\n=======\r\nvar b = 3\r\n>>>>>>> theirs\r\n", "go")[1:] == ("conflict", 3)
+    assert Y.inspect("if true; then\n  echo a\n", "shell")[1] == "truncation" and Y.inspect('echo a\necho "abc', "shell")[1:] == ("truncation", 2)
+    assert Y.inspect(VALID["java"], "python")[1] == "mismatch" and Y.inspect(VALID["python"], "go")[1] == "mismatch"
+    assert Y.inspect(VALID["go"].replace("var", "vra").replace("if v, ok := m[i]; ok", "if v ok := m[i]; ok"), "go")[1:] == ("slip", 14)
+    assert Y.inspect("x = 1\ny = (2 +\nz = 3\n", "python")[1] != "mismatch"
+    assert Y.inspect("", "python") == VALIDATED and Y.inspect("", "json")[0] == 1
 
 
-def test_faults():
-    assert Y.inspect("package p\nfunc f() {\n", "go") == (1, "truncation")
-    assert Y.inspect("a = 1\n<<<<<<< ours\nb = 2\n=======\nb = 3\n>>>>>>> theirs\n", "python")[1] == "conflict"
-    assert Y.inspect(VALID["java"], "python")[1] in ("mismatch", "slip")
-    assert Y.inspect("", "python") == (0, None) and Y.inspect("", "json")[0] == 1
+def test_a_group_costs_its_tokens():
+    """The block of a function isn't left out to hide one slip in it."""
+    assert Y.inspect("package p\n\nfunc f() {\n\ta := 1\n\tb := := 2\n\tc := 3\n}\n", "go") == (1, "slip", 5)
 
 
 def test_check(spark):
     rows = [(1, "r", "a.go", "package p\n"), (2, "r", "b.PY", "def f(:\n"), (3, "s", "c.md", "def ("), (4, "s", "d.py", None), (5, None, "e.unknown", "x"), (6, None, None, "x"), (7, None, "f.json", "{}"), (7, None, "f.json", "{"), (8, "r", "g.py", "x = (" * 3000)]
     df = spark.createDataFrame(rows, "file_id bigint, repo string, path string, content string")
-    checked = Y.check(df, "file_id", "path", "content", ("repo",))
+    assert {r.line for r in Y.check(df.where("file_id = 2"), "file_id", "path", "content").collect()} == {1}
+    checked = Y.check(df, "file_id", "path", "content", ("repo",), most=0)
     assert sorted((r.file_id, r.cost > 0) for r in checked.collect()) == [(1, False), (2, True), (7, False), (7, True), (8, True)]
     assert {(r.repo, r.language, r.files, r.invalid) for r in Y.rates(checked, "repo").collect()} == {("r", "go", 1, 0), ("r", "python", 2, 2), (None, "json", 2, 1)}
     assert Y.check(df.limit(0), "file_id", "path", "content").count() == 0
