@@ -184,6 +184,18 @@ def similar_pairs(reps: DataFrame, df: DataFrame, id_col: str, text_col: str, ho
     return both.where(F.col("similarity") >= how.threshold)
 
 
+#: Links of a node above which its least neighbour is broadcast: at most one row in this many links is.
+HUB = 100_000
+
+
+def _to_least(links: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """links with m, the least neighbour of their `key`, from least(key, m, links). Those of hubs don't gather in one task."""
+    hubs = least.where(F.col("links") > HUB).select(key, F.col("m").alias("hub"))
+    marked = links.join(F.broadcast(hubs), key, "left")
+    others = marked.where("hub IS NULL").drop("hub").join(least.where(F.col("links") <= HUB).select(key, "m"), key)
+    return marked.where("hub IS NOT NULL").withColumnRenamed("hub", "m").unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with a link, by alternating large-star and small-star.
 
@@ -196,11 +208,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large-star: every larger neighbour is linked with the smallest of the node's own neighbourhood.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("links"))
+        large = _to_least(both.where("v > u"), least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         # Small-star: every smaller neighbour and the node itself are linked with the smallest of them.
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("m").alias("x"), F.col("u").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("v").alias("y"))).where("x <> y")
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("links"))
+        small = _to_least(large, least, "v").select(F.col("m").alias("x"), F.col("u").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("v").alias("y"))).where("x <> y")
         now = materialize(small.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "star")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
@@ -220,13 +232,24 @@ def groups(df: DataFrame, id_col: str, text_col: str, how: Likeness) -> DataFram
     return members.join(linked, members["rep"] == linked["node"], "left").select(F.col("id").alias(id_col), "rep", F.coalesce("component", "rep").alias("group"))
 
 
-def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+#: Rows of one representative that meet those of another, or each other, in one task.
+ROWS = 1000
+
+
+def row_pairs(members: DataFrame, links: DataFrame, rows: int = ROWS) -> DataFrame:
     """(a, b) with a < b: all pairs of rows whose representatives are the same or linked.
 
-    The number of pairs of rows is what it is; each comes from an equi-join on the
-    representative, whose hot keys adaptive execution splits.
+    The number of pairs of rows is what it is; rows of one representative are cut into blocks, and any two blocks
+    that must meet do so by themselves, however many rows are copies of each other.
     """
-    x, y = members.alias("x"), members.alias("y")
-    same = x.join(y, F.expr("x.rep = y.rep AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    across = links.alias("k").join(members.alias("x"), F.expr("k.a = x.rep")).select("x.id", "k.b").join(members.select(F.col("rep").alias("b"), F.col("id").alias("other")), "b")
-    return same.unionByName(across.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"), F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    held = members.join(sizes, "rep").select("rep", "id", "n", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    x = held.where("n > 1").select("rep", F.col("id").alias("a"), F.col("block").alias("one"), every("blocks").alias("two"))
+    y = held.where("n > 1").select("rep", F.col("id").alias("b"), every("blocks").alias("one"), F.col("block").alias("two"))
+    same = x.join(y, ["rep", "one", "two"]).where("a < b").select("a", "b")
+    cut = sizes.select("rep", "blocks")
+    met = links.select("a", "b").join(cut.toDF("a", "na"), "a").join(cut.toDF("b", "nb"), "b").select("a", "b", "nb", every("na").alias("one")).select("a", "b", "one", every("nb").alias("two"))
+    first = met.join(held.select(F.col("rep").alias("a"), F.col("block").alias("one"), F.col("id").alias("p")), ["a", "one"]).select("p", "b", "two")
+    across = first.join(held.select(F.col("rep").alias("b"), F.col("block").alias("two"), F.col("id").alias("q")), ["b", "two"])
+    return same.unionByName(across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))

@@ -74,6 +74,22 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[i] == 100 for i in range(100, 160)) and got[161] == 160 and 200 not in got
 
 
+def test_hubs_are_resolved_apart(spark, monkeypatch):
+    edges = [(1, i) for i in range(2, 40)] + [(50, i) for i in range(20, 30)] + [(60, 61)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    monkeypatch.setattr(D, "HUB", 5)
+    got = {r.node: r.component for r in D.components(df).collect()}
+    assert got == {i: 1 for i in [*range(1, 40), 50]} | {60: 60, 61: 60}
+
+
+def test_rows_of_hot_representatives_meet_in_blocks(spark):
+    members = spark.createDataFrame([(i, 1 if i < 30 else 30 if i < 45 else i) for i in range(1, 50)], "id bigint, rep bigint")
+    links = spark.createDataFrame([(1, 30), (30, 46), (47, 48)], "a bigint, b bigint")
+    wanted = D.row_pairs(members, links).collect()
+    assert len(wanted) == len({tuple(r) for r in wanted}) == 29 * 28 // 2 + 15 * 14 // 2 + 29 * 15 + 15 + 1
+    assert {tuple(r) for r in D.row_pairs(members, links, rows=4).collect()} == {tuple(r) for r in wanted}
+
+
 def test_hot_buckets_meet_block_by_block(spark, texts):
     df = spark.createDataFrame(texts, "id bigint, text string")
     _, reps = D.representatives(D.sketches(df, "id", "text", HOW))
