@@ -6,11 +6,13 @@ import argparse
 import os
 import sys
 
+from pyspark.sql import SparkSession
+
 from siltstone import report
 from siltstone.operators import evaluate
 from siltstone.operators.store import Store
 from siltstone.plans import evaluation, index, search
-from siltstone.session import local_session, ship_package
+from siltstone.session import local_session, scratch, ship_package
 from siltstone.sources import config, golden
 from siltstone.sources.repo import RepoSource
 from siltstone.streaming import watch
@@ -93,6 +95,12 @@ def main(argv: list[str] | None = None) -> int:
             spark.conf.set("spark.sql.shuffle.partitions", "1")  # one key
             watch.follow(changes, run, os.path.join(os.path.abspath(args.store), ".watch"), settings).awaitTermination()
         return 0
+    with scratch(spark):
+        return _ask(args, spark, store)
+
+
+def _ask(args: argparse.Namespace, spark: SparkSession, store: Store) -> int:
+    """The commands that search: their results are printed before their steps are removed."""
     request = search.Request(search.mode_of(args.mode), args.limit, tuple(search.listed(getattr(args, "languages", None))), tuple(search.listed(getattr(args, "repos", None))))
     if args.command == "search":
         asked = spark.createDataFrame([("q", args.query)], "query_id string, query string")

@@ -46,12 +46,6 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
-def with_stems(tokens: Column, stems: Column) -> Column:
-    """Each word followed by its stem where that differs and is no stop word. stems: map of word to stem."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.flatten(F.transform(tokens, lambda w: F.when((F.try_element_at(stems, w) != w) & ~F.array_contains(stop, F.try_element_at(stems, w)), F.array(w, F.try_element_at(stems, w))).otherwise(F.array(w))))
-
-
 def token_hash(token: Column) -> Column:
     """CRC-32 of the UTF-8 bytes."""
     return F.crc32(F.encode(token, "UTF-8"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
@@ -168,3 +168,8 @@ def chunks(files: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> Data
     """Go files by functions, all others by windows."""
     go = go_chunks(files.where("language = 'go'"), size, overlap)
     return windows(files.where("language IS NULL OR language <> 'go'"), size, overlap).unionByName(go)
+
+
+def ordered(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks with their position in their file, from 1: by first line, then last line, then name."""
+    return cut.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("start_line", "end_line", "name")))

@@ -92,7 +92,7 @@ def run_aggregate(metrics: DataFrame, keys: list[str]) -> DataFrame:
     good = F.col("error").isNull()
     positive, negative = good & (F.col("query_type") != "negative"), good & (F.col("query_type") == "negative")
     mean = lambda c, of: F.coalesce(F.round(F.avg(F.when(of, F.col(c).cast("double"))), 6), F.lit(0.0))
-    place = lambda c, p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN error IS NULL THEN {c} END)")
+    place = lambda c, p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN error IS NULL THEN {c} END)").cast("long")
     return metrics.groupBy(*keys).agg(
         F.count("*").alias("queries"),
         F.count_if(positive).alias("positive"),

@@ -68,9 +68,9 @@ _ENRICHED_SQL = """'File: ' || coalesce(file_path, '') || chr(10) || 'Language:
     || chr(10) || chr(10) || coalesce(content, '')"""
 #: Words, counts, statistics and weights of chunks, without stems: SQL has no stemmer.
 _BM25_SQL = f"""
-WITH words AS (SELECT chunk_no AS id, {_words_sql(_ENRICHED_SQL)} AS w FROM code_chunks),
+WITH words AS MATERIALIZED (SELECT chunk_no AS id, {_words_sql(_ENRICHED_SQL)} AS w FROM code_chunks),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
-counts AS (SELECT id, token, length, count(*) AS tf FROM (SELECT id, len(w) AS length, unnest(w) AS token FROM words) GROUP BY ALL),
+counts AS MATERIALIZED (SELECT id, token, length, count(*) AS tf FROM (SELECT id, len(w) AS length, unnest(w) AS token FROM words) GROUP BY ALL),
 idfs AS (SELECT token, count(*) AS df, ln((any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1.0::DOUBLE) AS idf FROM counts, stats GROUP BY token),
 weights AS (SELECT id, token, idf * tf * 1.5::DOUBLE / (tf + 0.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avgdl)) AS weight FROM counts JOIN idfs USING (token), stats)
 """
@@ -149,6 +149,34 @@ def all_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(_files(spark, d)).select("file_id", "language", "start_line", "end_line", "name", "chunk_type", "chunk_id")
 
 
+_LINES_SQL = f"SELECT file_id, {_LANGUAGE_SQL} AS language, unnest(string_split(content, chr(10))) AS line FROM source_files WHERE content IS NOT NULL"
+
+
+def _cover(files: DataFrame, cut: DataFrame) -> DataFrame:
+    """(file_id, non_blank, covered): lines that are not blank, and how many of them lie in a chunk."""
+    lines = files.where("content IS NOT NULL").select("file_id", F.posexplode(chunking.lines(F.col("content"))).alias("at", "line")).where(F.regexp_like("line", F.lit(r"\S")))
+    lines = lines.select("file_id", (F.col("at") + 1).alias("line_no"))
+    inside = cut.select("file_id", F.explode(F.sequence("start_line", "end_line")).alias("line_no")).distinct().withColumn("held", F.lit(1))
+    return lines.join(inside, ["file_id", "line_no"], "left").groupBy("file_id").agg(F.count("*").alias("non_blank"), F.count("held").alias("covered"))
+
+
+@query(f"SELECT file_id, count(*) AS non_blank, count(*) AS covered FROM ({_LINES_SQL}) WHERE language = 'go' AND regexp_matches(line, '[^\\s\\x0B]') GROUP BY file_id")
+def go_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and the gaps between them leave out no line of a Go file."""
+    files = _files(spark, d).where("language = 'go'")
+    return _cover(files, chunking.go_chunks(files))
+
+
+@query(f"SELECT file_id, count(*) AS non_blank, count(*) AS covered FROM ({_LINES_SQL}) WHERE regexp_matches(line, '[^\\s\\x0B]') GROUP BY file_id")
+def chunk_cover(spark: SparkSession, d: str) -> DataFrame:
+    return _cover(_files(spark, d), chunking.chunks(_files(spark, d)))
+
+
+@query(_WINDOWS_SQL + "SELECT file_id, start_line::INT AS start_line, (row_number() OVER (PARTITION BY file_id ORDER BY start_line))::INT AS position FROM named")
+def chunk_positions(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.ordered(chunking.windows(_files(spark, d)), ["file_id"]).select("file_id", "start_line", "position")
+
+
 @query(f"SELECT chunk_no, {_NAME_SQL} AS extracted FROM code_chunks WHERE content IS NOT NULL")
 def extract_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "code_chunks").where("content IS NOT NULL").select("chunk_no", X.extract_name(F.col("content"), F.col("language")).alias("extracted"))
@@ -306,6 +334,20 @@ def vector_validation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embed_responses").select("response_id", dense.validate(F.col("embeddings"), 96).alias("problem"), complete.alias("complete"))
 
 
+@query("""
+SELECT response_id, CASE WHEN chunk_nos IS NULL OR embeddings IS NULL THEN 'missing' WHEN len(chunk_nos) <> len(embeddings) THEN 'different lengths'
+    WHEN list_bool_or(list_transform(chunk_nos, lambda x: x IS NULL)) OR list_bool_or(list_transform(embeddings, lambda x: x IS NULL)) THEN 'null entry'
+    WHEN len(list_distinct(chunk_nos)) <> len(chunk_nos) THEN 'repeated index' END AS problem FROM embed_responses""")
+def parallel_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of sparse vectors on the parallel lists of the replies."""
+    return table(spark, d, "embed_responses").select("response_id", sparse.validate(F.col("chunk_nos"), F.col("embeddings")).alias("problem"))
+
+
+@query(_BM25_SQL + "SELECT DISTINCT id AS chunk_no, NULL::VARCHAR AS problem FROM weights")
+def sparse_vector_validation(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.sparse_vectors(_postings(spark, d, True)).select(F.col("id").alias("chunk_no"), sparse.validate(F.col("indices"), F.col("values")).alias("problem"))
+
+
 def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     """(id, vector): one sound vector of each chunk, the smallest if they differ; worked out once per application."""
     return kept(spark, ("vectors", d), lambda: _sound_vectors(spark, d))
@@ -384,6 +426,34 @@ def stale_files(spark: SparkSession, d: str) -> DataFrame:
     return _classes(spark, d).where("class = 'stale'").select("repo", "file_path")
 
 
+#: Files that can be read, against what the stored chunks say of their files: files without chunks are new, others refreshed.
+_STORED_CLASSES_SQL = f"""WITH stored AS (SELECT repo, file_path, o.h AS file_hash, o.v AS index_version FROM (SELECT repo, file_path, max({{'t': coalesce(indexed_at::TIMESTAMP, TIMESTAMP '0001-01-01'), 'h': coalesce(file_hash, ''), 'v': coalesce(index_version, '')}}) AS o
+    FROM code_chunks WHERE file_path IS NOT NULL AND file_path <> '' GROUP BY repo, file_path)), disk AS (SELECT * FROM source_files WHERE content IS NOT NULL), kinds AS (
+SELECT coalesce(f.repo, s.repo) AS repo, coalesce(f.file_path, s.file_path) AS file_path, coalesce(f.file_hash, s.file_hash) AS file_hash,
+    CASE WHEN s.file_path IS NULL THEN 'new' WHEN f.file_path IS NULL THEN 'stale' WHEN coalesce(f.file_hash <> s.file_hash, true) THEN 'changed'
+    WHEN s.index_version <> '{changes.INDEX_VERSION}' THEN 'refresh' ELSE 'unchanged' END AS class
+FROM disk f FULL JOIN stored s ON f.repo IS NOT DISTINCT FROM s.repo AND f.file_path = s.file_path)"""
+#: The stored state of each file, against the files that can be read: a file without content is gone.
+_READABLE_SQL = f"WITH {_STATES_SQL}, gone AS (SELECT s.repo, s.file_path FROM states s LEFT JOIN (SELECT repo, file_path FROM source_files WHERE content IS NOT NULL) f ON f.repo IS NOT DISTINCT FROM s.repo AND f.file_path = s.file_path WHERE f.file_path IS NULL)"
+
+
+@query(_STORED_CLASSES_SQL + " SELECT * FROM kinds")
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "code_chunks")
+    return changes.classify(table(spark, d, "source_files").where("content IS NOT NULL"), changes.latest_states(chunks, F.col("indexed_at")))
+
+
+@query(_STORED_CLASSES_SQL + " SELECT class, count(*) AS files FROM kinds GROUP BY class")
+def stored_change_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stored_changes(spark, d).groupBy("class").agg(F.count("*").alias("files"))
+
+
+@query(_READABLE_SQL + " SELECT * FROM gone")
+def unreadable_files(spark: SparkSession, d: str) -> DataFrame:
+    readable = table(spark, d, "source_files").where("content IS NOT NULL")
+    return changes.classify(readable, file_states(spark, d)).where("class = 'stale'").select("repo", "file_path")
+
+
 _STORED = ["chunk_id", "chunk_no", "repo", "file_path", "file_hash"]
 
 
@@ -414,6 +484,12 @@ def delete_by_path(spark: SparkSession, d: str) -> DataFrame:
     return changes.delete_paths(stored, stale_files(spark, d)).select("chunk_id", "chunk_no")
 
 
+@query(_READABLE_SQL + ", " + _LAST_SQL.format("") + " SELECT chunk_id, chunk_no FROM last l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.repo = l.repo AND g.file_path = l.file_path)")
+def delete_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    stored = changes.last_by_id(table(spark, d, "code_chunks").select(*_STORED), "chunk_id", "chunk_no")
+    return changes.delete_paths(stored, unreadable_files(spark, d)).select("chunk_id", "chunk_no")
+
+
 @query("WITH " + _LAST_SQL.format("") + " SELECT chunk_id, chunk_no FROM last l LEFT JOIN source_files f USING (repo, file_path) WHERE f.file_path IS NULL OR f.file_hash IS NULL OR l.file_hash IS NOT DISTINCT FROM f.file_hash")
 def delete_stale_chunks(spark: SparkSession, d: str) -> DataFrame:
     stored = changes.last_by_id(table(spark, d, "code_chunks").select(*_STORED), "chunk_id", "chunk_no")
@@ -428,6 +504,16 @@ def golden_validation(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.invalid_queries(table(spark, d, "golden_queries"))
 
 
+@query("""WITH asked AS (SELECT a.query_id, a.query, g.query_type, g.expected_files, g.expected_symbols FROM eval_answers a LEFT JOIN golden_queries g USING (query_id))
+SELECT query_id, problem FROM (SELECT query_id, CASE WHEN coalesce(query_id, '') = '' THEN 'missing id' WHEN coalesce(query, '') = '' THEN 'empty query'
+    WHEN coalesce(query_type, '') <> 'negative' AND coalesce(len(expected_files), 0) = 0 AND coalesce(len(expected_symbols), 0) = 0 THEN 'no expectation' END AS problem FROM asked) WHERE problem IS NOT NULL
+UNION ALL SELECT query_id, 'duplicate id' FROM asked WHERE query_id <> '' GROUP BY query_id HAVING count(*) > 1""")
+def asked_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of all answers, taken for a dataset: ids are missing and repeat."""
+    g = table(spark, d, "golden_queries").select("query_id", "query_type", "expected_files", "expected_symbols")
+    return evaluate.invalid_queries(table(spark, d, "eval_answers").select("query_id", "query").join(g, "query_id", "left"))
+
+
 # ---- Evaluation. ----
 
 
@@ -468,6 +554,22 @@ def eval_by_type(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.by_type(evaluate.per_query(_ranked(spark, d), table(spark, d, "golden_queries")))
 
 
+_RUN_TIMES_SQL = ", ".join(f"quantile_disc({c}, {p / 100}) FILTER (WHERE error IS NULL) AS {c[:-3]}_p{p}_ms" for c in evaluate.TIMES for p in (50, 95))
+
+
+@query(_METRICS_SQL + f""", runs AS (SELECT run_id, query_id, max(error) AS error, max(generate_ms) AS total_ms, min(generate_ms) AS embed_ms, max(generate_ms) - min(generate_ms) AS search_ms FROM eval_answers WHERE query_id IS NOT NULL GROUP BY ALL)
+SELECT run_id, count(*) AS queries, count(*) FILTER (WHERE error IS NULL AND query_type <> 'negative') AS positive, count(*) FILTER (WHERE error IS NULL AND query_type = 'negative') AS negative, count(*) FILTER (WHERE error IS NOT NULL) AS errors,
+    {", ".join(f"coalesce(round(avg({c}::{'INT' if c.startswith('hit') else 'DOUBLE'}::DOUBLE) FILTER (WHERE error IS NULL AND query_type <> 'negative'), 6), 0) AS {c}" for c in ("hit_1", "hit_3", "hit_5", "mrr_5", "recall_5", "recall_10"))},
+    coalesce(round(avg(negative_pass::INT::DOUBLE) FILTER (WHERE error IS NULL AND query_type = 'negative'), 6), 0) AS negative_pass_rate, {_RUN_TIMES_SQL}
+FROM runs JOIN metrics USING (query_id) GROUP BY run_id""")
+def eval_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates of runs with failed queries and times, one per run of the answers: each question counts with its retrieval and its slowest, fastest and spread of times."""
+    m = evaluate.per_query(_ranked(spark, d), table(spark, d, "golden_queries"))
+    runs = table(spark, d, "eval_answers").where("query_id IS NOT NULL").groupBy("run_id", "query_id")
+    runs = runs.agg(F.max("error").alias("error"), F.max("generate_ms").alias("total_ms"), F.min("generate_ms").alias("embed_ms"), (F.max("generate_ms") - F.min("generate_ms")).alias("search_ms"))
+    return evaluate.run_aggregate(runs.join(m, "query_id"), ["run_id"])
+
+
 @query("SELECT run_id, count(generate_ms) AS n, quantile_disc(generate_ms, 0.5) AS p50, quantile_disc(generate_ms, 0.95) AS p95 FROM eval_answers WHERE generate_ms IS NOT NULL GROUP BY run_id")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.percentiles(table(spark, d, "eval_answers"), F.col("generate_ms"), ["run_id"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import changes, chunking, dense
 from siltstone.operators.store import Store
-from siltstone.session import materialize
+from siltstone.session import materialize, scratch
 from siltstone.sources.config import Config, binary
 from siltstone.sources.repo import RepoSource
 
@@ -53,7 +53,22 @@ def run(
     the first vector. Nothing is written if nothing changed. A change rewrites its repositories and leaves the others alone; vectors of
     chunks whose text stayed the same are taken over. Removed files go and changed ones come at once, when the whole is published.
     """
-    files = materialize(files, "files")
+    with scratch(spark):
+        return _run(spark, store, name, materialize(files, "files"), dim, embed, languages, repos, size, overlap)
+
+
+def _run(
+    spark: SparkSession,
+    store: Store,
+    name: str,
+    files: DataFrame,
+    dim: int | None,
+    embed: Callable[[Column], Column] | None,
+    languages: list[str] | None,
+    repos: list[str] | None,
+    size: int,
+    overlap: int,
+) -> dict[str, int]:
     repos = [r[0] for r in files.select("repo").distinct().collect()] if repos is None else repos  # one row per repository
     store.ensure(name, dim)
     stored = store.read(name, tuple(repos)) if repos else None

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Steps that are materialized within are removed at the end; for work whose results are read, written or collected by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     The files survive lost executors and hold no lineage, so later steps that read the
-    result several times compute it once.
+    result several times compute it once. Within `scratch` they are removed at its end; else they stay
+    as long as the folder, since a result that isn't read yet may need them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

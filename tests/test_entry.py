@@ -16,7 +16,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["window_chunks", "chunk_ids", "tokens", "bm25_weights", "sparse_topk_filtered", "eval_per_query", "change_detection", "answer_flags"])
+@pytest.mark.parametrize("name", ["window_chunks", "chunk_ids", "tokens", "bm25_weights", "sparse_topk_filtered", "go_cover", "stored_changes", "unreadable_files", "eval_runs", "eval_per_query", "change_detection", "answer_flags"])
 def test_against_sql(spark, smallest, name):
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")

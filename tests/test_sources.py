@@ -147,6 +147,22 @@ def test_index_infers_the_dimension_and_checks_vectors_first(spark, tmp_path):
     assert {r.file_path for r in store.read("c").collect()} == {"a.py"}
 
 
+def test_scratch_is_removed(spark):
+    from siltstone.session import kept, materialize, scratch
+
+    with scratch(spark):
+        inside = materialize(spark.range(3))
+        with scratch(spark):
+            deeper = materialize(inside)
+            assert deeper.count() == 3
+        assert inside.count() == 3
+        held = kept(spark, ("t",), lambda: spark.range(2))
+    path = lambda df: df.inputFiles()[0].removeprefix("file://")
+    assert not any(os.path.exists(path(df)) for df in (inside, deeper, held))
+    assert kept(spark, ("t",), lambda: spark.range(2)).count() == 2  # made anew, and then kept
+    assert kept(spark, ("t",), lambda: spark.range(9)).count() == 2
+
+
 def test_root_with_a_skipped_name(spark, tmp_path):
     tree(str(tmp_path / "build"), {"a.py": "x\n"})
     assert index.scan(spark, str(tmp_path / "build"), "r").count() == 0
