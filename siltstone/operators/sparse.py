@@ -51,18 +51,17 @@ def with_stems(counts: DataFrame) -> DataFrame:
     return counts.unionByName(more).groupBy(*keys).agg(F.sum("tf").alias("tf"))
 
 
-def corpus(df: DataFrame, id_col: str, text: Column, stems: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(term counts, statistics) of a table of texts, each text cut into words once.
-
-    Texts are shuffled by id, over all cores, so that their words are not. The counts are written to the shared folder, since
-    documents, frequencies and weights all read them. The mean length comes from them, too: a text's counts add up to its length.
-    """
+def spread_counts(df: DataFrame, id_col: str, text: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """term_counts of a table of texts, which are shuffled by id, over all cores, so that their words are not."""
     parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    base = materialize(term_counts(tokenized(df.where(F.col(id_col).isNotNull()).repartition(parts, F.col(id_col)), id_col, text, keep)), "terms")
+    return term_counts(tokenized(df.where(F.col(id_col).isNotNull()).repartition(parts, F.col(id_col)), id_col, text, keep))
+
+
+def stats_of(df: DataFrame, id_col: str, base: DataFrame) -> DataFrame:
+    """corpus_stats from the number of texts and their counts without stems, which add up to their lengths."""
     texts = df.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"))
     total = base.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    stats = texts.join(F.broadcast(total)).select("n", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("avgdl"))  # one row each
-    return with_stems(base) if stems else base, stats
+    return texts.join(F.broadcast(total)).select("n", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("avgdl"))  # one row each
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -85,9 +84,8 @@ def weights(counts: DataFrame, idfs: DataFrame, stats: DataFrame, k1: float = K1
     return weighted.select(*[c for c in counts.columns if c not in ("length", "tf")], weight.alias("weight")).where("weight > 0")
 
 
-def postings(df: DataFrame, id_col: str, text: Column, stems: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """(id, token, kept columns, weight) of a table of texts. The words' frequencies are broadcast up to WORDS of them."""
-    counts, stats = corpus(df, id_col, text, stems, keep)
+def weigh(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """weights by the frequencies of the counts themselves, which are broadcast up to WORDS words."""
     return weights(counts, bounded(materialize(idf(counts, stats), "idf"), WORDS), stats)
 
 

@@ -218,8 +218,10 @@ def token_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str, stems: bool) -> tuple[DataFrame, DataFrame]:
-    """(term counts, statistics) of the enriched texts of all chunks."""
-    return sparse.corpus(table(spark, d, "code_chunks"), "chunk_no", _enriched(), stems)
+    """(term counts, statistics) of the enriched texts of all chunks, which are cut into words once per application."""
+    chunks = table(spark, d, "code_chunks")
+    base = kept(spark, ("terms", d), lambda: sparse.spread_counts(chunks, "chunk_no", _enriched(), keep=("repo", "language")))
+    return sparse.with_stems(base) if stems else base, sparse.stats_of(chunks, "chunk_no", base)
 
 
 def _idf(spark: SparkSession, d: str, stems: bool) -> DataFrame:
@@ -228,7 +230,7 @@ def _idf(spark: SparkSession, d: str, stems: bool) -> DataFrame:
 
 def _postings(spark: SparkSession, d: str, stems: bool) -> DataFrame:
     """(id, token, repo, language, weight) of all chunks, weighed once per application and then read by every search."""
-    return kept(spark, ("postings", d, stems), lambda: sparse.postings(table(spark, d, "code_chunks"), "chunk_no", _enriched(), stems, keep=("repo", "language")))
+    return kept(spark, ("postings", d, stems), lambda: sparse.weigh(*_corpus(spark, d, stems)))
 
 
 def _asked(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
