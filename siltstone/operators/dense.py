@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.operators.sparse import rank
 
@@ -104,8 +105,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, same: list[str] | None
     """
     same = same or []
     filled = " AND ".join(["vector IS NOT NULL AND size(vector) > 0", *[f"`{c}` IS NOT NULL" for c in same]])
-    q = queries.where(f"query_id IS NOT NULL AND {filled}").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *same)
-    v = vectors.where(f"id IS NOT NULL AND {filled}").select("id", F.col("vector").cast("array<double>").alias("vector"), *same)
+    # New names, as queries are often taken from the vectors themselves: a group of both sides tells columns by their origin.
+    q = queries.where(f"query_id IS NOT NULL AND {filled}").select(F.col("query_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), *[F.col(c).alias(c) for c in same])
+    v = vectors.where(f"id IS NOT NULL AND {filled}").select(F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *[F.col(c).alias(c) for c in same])
     out = f"query_id {dict(q.dtypes)['query_id']}, id {dict(v.dtypes)['id']}, score double"
     count, numbers = q.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
     if 8 * numbers + 100 * count <= HELD:
@@ -128,7 +130,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, same: list[str] | None
         left = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(qn)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vn - 1))).alias("vb"))
         right = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(qn - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(vn)).cast("int").alias("vb"))
 
+        nothing = pa.schema([("query_id", to_arrow_type(q.schema["query_id"].dataType)), ("id", to_arrow_type(v.schema["id"].dataType)), ("score", pa.float64())]).empty_table()
+
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return nothing
             best = _Best(_Side(_one(a["query_id"]), _one(a["vector"]), [_one(a[c]) for c in same]), k)
             best.add(_Side(_one(b["id"]), _one(b["vector"]), [_one(b[c]) for c in same]))
             return pa.Table.from_batches([best.batch(a.schema.field("query_id").type, b.schema.field("id").type)])

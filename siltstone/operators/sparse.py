@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions import text as X
 from siltstone.functions.stemmer import stem_column
@@ -137,7 +138,11 @@ def search(query_words: DataFrame, postings: DataFrame, k: int, filters: dict[st
     right = kept.select(shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block") if blocks > 1 else F.lit(0).alias("block"), "*")
     left = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "*")
 
+    nothing = pa.schema([("query_id", to_arrow_type(asked.schema["query_id"].dataType)), ("id", to_arrow_type(kept.schema["id"].dataType)), ("score", pa.float64())]).empty_table()
+
     def meet(q: pa.Table, p: pa.Table) -> pa.Table:
+        if not q.num_rows or not p.num_rows:
+            return nothing
         ids = p["id"].combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         ids = ids.dictionary_encode()

@@ -148,6 +148,59 @@ def test_dense_against_brute_force(spark, monkeypatch):
         assert [same[i, n] for n in range(1, 5)] == [j for j in order if j % 2 == i % 2][:4]
 
 
+@pytest.mark.parametrize("shard, block", [(20_000, 20_000), (40, 3)])
+def test_sparse_against_brute_force(spark, monkeypatch, shard, block):
+    """Shards and blocks of any size, names as ids, filters, a word that all texts hold, ties, repeated and null queries."""
+    monkeypatch.setattr(sparse, "SHARD", shard)
+    monkeypatch.setattr(sparse, "QUERIES", block)
+    rng = random.Random(3)
+    words = ["all", *[f"w{i}" for i in range(12)]]
+    rows = [(f"t{i:03d}", w, "ab"[i % 2], rng.choice([1.0, 0.5, rng.random()])) for i in range(150) for w in ["all", *rng.sample(words[1:], 3)]]
+    p = spark.createDataFrame(rows, "id string, token string, repo string, weight double")
+    asked = [(f"q{i}", rng.sample(words, 3) + ["none", "all", "all"], [["a"], [], None, ["x"]][i % 4]) for i in range(8)] + [("empty", [], None), ("null", None, None), (None, ["all"], None)]
+    q = spark.createDataFrame(asked, "query_id string, words array<string>, only array<string>")
+    for filters in (None, {"only": "repo"}):
+        got = {}
+        for r in sparse.search(q, p, 7, filters=filters).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, round(r.score, 9), r["rank"]))
+        for key, its, only in asked[:8]:
+            scores = {}
+            for i, w, repo, weight in rows:
+                if w in its and (not filters or not only or repo in only):
+                    scores[i] = scores.get(i, 0) + weight
+            best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:7]
+            assert got.get(key, []) == [(i, round(s, 9), n + 1) for n, (i, s) in enumerate(best)]
+        assert set(got) <= {k for k, _, _ in asked[:8]}
+
+
+def test_sparse_of_no_postings(spark):
+    p = spark.createDataFrame([], "id bigint, token string, weight double")
+    q = spark.createDataFrame([("q", ["a"])], "query_id string, words array<string>")
+    assert sparse.search(q, p, 3).count() == 0 and sparse.search(q.limit(0), p, 3).count() == 0
+
+
+def test_sparse_vectors_are_checked(spark):
+    cases = [([1, 2], [0.5, 0.1], None), ([], [], None), (None, [0.1], "missing"), ([1], [0.1, 0.2], "different lengths"), ([1, None], [0.1, 0.2], "null entry"), ([1, 1], [0.1, 0.2], "repeated index")]
+    df = spark.createDataFrame([(i, v) for i, v, _ in cases], "i array<bigint>, v array<double>")
+    assert [r[0] for r in df.select(sparse.validate(F.col("i"), F.col("v"))).collect()] == [w for *_, w in cases]
+
+
+def test_dense_of_names_in_blocks_or_not(spark, monkeypatch):
+    """Both ways give the same: queries that every task holds, and queries in blocks; ids may be names, filters must be equal."""
+    rng = random.Random(9)
+    rows = [(f"v{i:02d}", [rng.gauss(0, 1) for _ in range(5)], "ab"[i % 2]) for i in range(40)] + [("zero", [0.0] * 5, "a"), ("short", [1.0], "a"), ("null", None, "a"), ("copy", None, None)]
+    rows[-1] = ("copy", rows[0][1], "a")
+    v = spark.createDataFrame(rows, "id string, vector array<double>, label string").repartition(3)
+    q = v.withColumnRenamed("id", "query_id")
+    one = {tuple(r) for r in dense.top_k(q, v, 4, same=["label"]).collect()}
+    monkeypatch.setattr(dense, "HELD", 0)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(dense, "VECTOR_BLOCK", 9)
+    assert one == {tuple(r) for r in dense.top_k(q, v, 4, same=["label"]).collect()} and len(one) == 41 * 4
+    assert {(r[1], r[3]) for r in one if r[0] == "v00" and r[3] == 1} == {("copy", 1)} and not any(r[0] == r[1] for r in one)
+    assert dense.top_k(q.limit(0), v, 4).count() == dense.top_k(q, v.limit(0), 4).count() == 0
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([("q", 1, 1), ("q", 2, 3)], "query_id string, id int, rank int")
     b = spark.createDataFrame([("q", 1, 50), ("q", 2, 3)], "query_id string, id int, rank int")
@@ -192,6 +245,16 @@ def test_metrics(spark):
     assert (a.queries, a.positive, a.hit_5, a.negative_pass_rate) == (3, 2, 0.5, 1.0)
 
 
+def test_run_aggregate(spark):
+    rows = [("r", "concept", True, 1.0, None, None, 30), ("r", "concept", False, 0.0, None, None, 10), ("r", "negative", False, 0.0, True, None, 20), ("r", "concept", True, 1.0, None, "lost", 999), ("e", "negative", False, 0.0, False, "lost", 1)]
+    m = spark.createDataFrame(rows, "run string, query_type string, hit boolean, share double, negative_pass boolean, error string, ms bigint")
+    m = m.select("run", "query_type", "negative_pass", "error", *[F.col("hit").alias(f"hit_{k}") for k in (1, 3, 5)], *[F.col("share").alias(c) for c in ("mrr_5", "recall_5", "recall_10")], *[F.col("ms").alias(c) for c in evaluate.TIMES])
+    got = {r.run: r for r in evaluate.run_aggregate(m, ["run"]).collect()}
+    r, e = got["r"], got["e"]
+    assert (r.queries, r.positive, r.negative, r.errors, r.hit_1, r.mrr_5, r.negative_pass_rate, r.total_p50_ms, r.total_p95_ms) == (4, 2, 1, 1, 0.5, 0.5, 1.0, 20, 30)
+    assert (e.queries, e.positive, e.negative, e.errors, e.hit_1, e.total_p50_ms) == (1, 0, 0, 1, 0.0, None)
+
+
 def test_percentiles(spark):
     df = spark.createDataFrame([("k", float(x)) for x in range(10, 101, 10)] + [("k", None)], "k string, v double")
     r = evaluate.percentiles(df, F.col("v"), ["k"]).first()
