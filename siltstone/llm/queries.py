@@ -125,12 +125,15 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     known = " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in EXTENSIONS.items())
-    return {
-        "p1_found": f"""
+    nearest = f"""
             WITH v AS (SELECT id, any_value(v) AS v FROM (SELECT unnest(chunk_nos) AS id, unnest(embeddings) AS v FROM embed_responses WHERE len(chunk_nos) = len(embeddings))
                 WHERE id IS NOT NULL AND len(v) = {DIMENSION} AND NOT list_bool_or(list_transform(v, lambda x: x IS NULL)) AND list_bool_or(list_transform(v, lambda x: x <> 0)) GROUP BY id),
             s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM v a JOIN v b ON a.id <> b.id),
-            r AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM s)
+            r AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM s)"""
+    return {
+        "p1_neighbours": nearest + " SELECT a AS chunk_no, n::INT AS rank, b AS neighbour, sim AS similarity FROM r WHERE n <= 10",
+        "p1_found": nearest
+        + f"""
             SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE n <= 10 AND sim >= {LEAST_SIMILARITY}""",
         "p2_judged": f"""
             SELECT repo, language, count(*) AS files FROM (SELECT repo, content, CASE lower(regexp_extract(file_path, '(\\.[^./]*)$', 1)) {known} END AS language FROM source_files)
