@@ -92,7 +92,6 @@ def main(argv: list[str] | None = None) -> int:
         if args.watch:
             spark.dataSource.register(RepoSource)
             changes = spark.readStream.format("repo").option("mode", "changes").option("state", os.path.join(os.path.abspath(args.store), ".listings")).option("skip_dirs", ",".join(settings.skip_dirs)).load(root)
-            spark.conf.set("spark.sql.shuffle.partitions", "1")  # one key
             watch.follow(changes, run, os.path.join(os.path.abspath(args.store), ".watch"), settings).awaitTermination()
         return 0
     with scratch(spark):

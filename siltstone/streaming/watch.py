@@ -69,4 +69,11 @@ def follow(changes: DataFrame, run: Callable[[], None], checkpoint: str, config:
             log.exception("indexing run %s failed", epoch)
 
     events = changes.where(relevant(F.col("file_path"), config)).select(F.lit("all").alias("source"), "file_path")
-    return settled(events, ["source"], gap_ms).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    # One key, so one state: the query takes the session's settings as it starts, and the runs it calls keep theirs.
+    spark = changes.sparkSession
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        return settled(events, ["source"], gap_ms).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

@@ -192,7 +192,6 @@ def test_follow(spark, tmp_path):
         if len(runs) == 1:
             raise OSError("logged, not fatal")
 
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
     q = watch.follow(changes, run, str(tmp_path / "checkpoint"), every="200 milliseconds", gap_ms=400)
     try:
         for step in range(2):
@@ -201,10 +200,9 @@ def test_follow(spark, tmp_path):
                 time.sleep(0.2)
             tree(root, {f"n{step}.py": "y\n"})
         assert len(runs) >= 2 and q.isActive
-        assert len(os.listdir(tmp_path / "listings")) <= 4
+        assert len(os.listdir(tmp_path / "listings")) <= 4 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
     finally:
         q.stop()
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_bursts_settle_without_a_later_event(spark, tmp_path):
