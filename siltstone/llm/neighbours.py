@@ -221,10 +221,10 @@ class Pivots:
 def _pivots(reps: DataFrame, n: int, dim: int, s: Search) -> np.ndarray:
     """Unit vectors drawn by the hash of their ids, about one in `cell`; each partition sends its share only."""
     wanted = max(1, min(s.pivots, n // s.cell))
-    # Half of the hash's range below zero is 63 bits wide; a fifth more than wanted, for chance, and then the first ones.
+    # A share of the range of the hash: a fifth more than wanted, for chance, and then the first ones.
     share = min(1.0, 1.2 * wanted / max(1, n) + 50 / max(1, n))
     drawn = F.xxhash64("rep", F.lit(s.seed))
-    some = reps.select("rep", "vector", drawn.alias("h")).where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1))) if share < 1 else F.lit(True)).toArrow()
+    some = reps.select("rep", "vector", drawn.alias("h")).where(F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))) if share < 1 else F.lit(True)).toArrow()
     order = np.lexsort((some["rep"].to_numpy(), some["h"].to_numpy()))[:wanted]
     return _unit(_matrix(some["vector"], dim)[order]) if len(order) else np.zeros((0, dim))
 
