@@ -37,6 +37,7 @@ class Grammar:
         self.orders = orders or {}
         self.costs: dict[tuple, int] = {}
         self.bads: dict[tuple, int] = {}
+        self.begun: dict[tuple, dict[int, int]] = {}
         self._fresh = 0
         for line in re.sub(r"\n[ \t]+", " ", text).split("\n"):
             if not line.strip():
@@ -107,9 +108,35 @@ class Grammar:
                 if new:
                     self.first[n] |= new
                     grown = True
+        self._number()
+
+    def _number(self) -> None:
+        """Numbers for nonterminals and for rules with a dot: what comes after a rule's number has the dot one symbol on.
+
+        An item of a chart is one number too: where it starts, times `size`, and its rule.
+        """
+        self.ids = {n: k for k, n in enumerate(self.rules)}
+        self.lefts: list[int] = []
+        #: The symbol after the dot; None at the end.
+        self.symbols: list[tuple | None] = []
+        #: The tokens that can come next without an edit; None if the rest can be empty.
+        self.opens: list[frozenset[str] | None] = []
+        self.bases = [[self._dotted(k, a) for a in dict.fromkeys(self.rules[n])] for n, k in self.ids.items()]
+        self.wholes = {n: self._dotted(-1, (("n", n),)) for n in self.rules}
+        self.size = len(self.lefts)
+        self.may_be_empty = [n in self.nullable for n in self.rules]
         #: By nonterminal and next token: the alternatives that can start with it, or be empty.
-        self.starts: dict[tuple[str, str], list[tuple]] = {}
-        self.empty = {n: [a for a in alts if all(s[0] == "n" and s[1] in self.nullable for s in a)] for n, alts in self.rules.items()}
+        self.starts: dict[tuple[int, str], list[int]] = {}
+        self.near: dict[tuple[int, str, str, bool], list[int]] = {}
+
+    def _dotted(self, left: int, body: tuple) -> int:
+        base = len(self.lefts)
+        for dot in range(len(body) + 1):
+            rest = body[dot:]
+            self.lefts.append(left)
+            self.symbols.append((("n", self.ids[rest[0][1]]) if rest[0][0] == "n" else rest[0]) if rest else None)
+            self.opens.append(None if all(x[0] == "n" and x[1] in self.nullable for x in rest) else frozenset(self._first(rest)))
+        return base
 
     def _first(self, symbols: tuple) -> set[str]:
         out: set[str] = set()
@@ -121,12 +148,23 @@ class Grammar:
                 break
         return out
 
-    def _predicted(self, name: str, kind: str) -> list[tuple]:
-        key = (name, kind)
+    def _predicted(self, left: int, kind: str) -> list[int]:
+        key = (left, kind)
         if key not in self.starts:
-            self.starts[key] = [a for a in self.rules[name] if kind in self._first(a) or all(s[0] == "n" and s[1] in self.nullable for s in a)]
+            self.starts[key] = [a for a in self.bases[left] if self.opens[a] is None or kind in self.opens[a]]
         return self.starts[key]
 
+    def _nearly(self, left: int, kind: str, after: str, single: bool) -> list[int]:
+        """The alternatives that a single edit may make start with the next token; single: whether that is one edit to leave out."""
+        key = (left, kind, after, single)
+        if key not in self.near:
+            can = lambda a, k: self.opens[a] is None or k in self.opens[a]
+            self.near[key] = [
+                a for a in self.bases[left]
+                if (s := self.symbols[a]) is None or s[0] == "n" or can(a, kind) or can(a + 1, kind) or single and (can(a, after) or can(a + 1, after))
+            ]
+        return self.near[key]
+
     # -- costs ---------------------------------------------------------------------------------
 
     def cost(self, name: str, seq: tuple, most: int) -> int:
@@ -225,8 +263,7 @@ class Grammar:
                 if c and most > base:
                     if repairs is None:  # of all ends at once
                         rest = rest or tuple(t for t in seq[i:] if t != "BR")
-                        repairs = {}
-                        self._repair(item, rest, most - base, None, repairs)
+                        repairs = self._prefixes(item, rest, most - base)
                     c = repairs.get(size, most + 1)
                 elif c:
                     c = most + 1
@@ -257,76 +294,95 @@ class Grammar:
     def _chart(self, name: str, seq: tuple, lengths: set[int] | None = None, stop: list | None = None) -> bool:
         """Plain Earley chart with one token of foresight: whether seq is a `name`, the lengths at which one could end, and
         where it can't go on, with what the groups there would have to be."""
-        n = len(seq)
-        now: dict[tuple, None] = {}
-        waiting: list[dict[str, list[tuple]]] = []
+        n, size, symbols, opens, lefts = len(seq), self.size, self.symbols, self.opens, self.lefts
+        target = self.ids[name]
+        waiting: list[dict[int, list[int]]] = []
         kind = (seq[0] if seq[0].__class__ is str else seq[0][0]) if n else ""
-        work = [(name, a, 0, 0) for a in self._predicted(name, kind)]
+        work = list(self._predicted(target, kind))
         for i in range(n + 1):
             token = seq[i] if i < n else ""
             kind = token if token.__class__ is str else token[0]
-            wants: dict[str, list[tuple]] = {}
+            grouped = token.__class__ is tuple
+            wants: dict[int, list[int]] = {}
             waiting.append(wants)
             now = dict.fromkeys(work)
-            work, nxt = list(now), []
+            work, nxt, here = list(now), [], i * size
             while work:
                 item = work.pop()
-                lhs, body, dot, start = item
-                if dot == len(body):
+                start, rule = divmod(item, size)
+                s = symbols[rule]
+                if s is None:
                     if start == i and start:
                         continue  # empty: handled where it was predicted
-                    for w in waiting[start].get(lhs, ()):
-                        new = (w[0], w[1], w[2] + 1, w[3])
-                        if new not in now:
+                    for w in waiting[start].get(lefts[rule], ()):
+                        new = w + 1
+                        if new not in now and ((can := opens[new % size]) is None or kind in can):
                             now[new] = None
                             work.append(new)
                     continue
-                s = body[dot]
                 if s[0] == "n":
-                    sub = s[1]
-                    if sub in wants:
-                        wants[sub].append(item)
+                    left = s[1]
+                    if left in wants:
+                        wants[left].append(item)
                     else:
-                        wants[sub] = [item]
-                        for a in self._predicted(sub, kind):
-                            new = (sub, a, 0, i)
+                        wants[left] = [item]
+                        for a in self._predicted(left, kind):
+                            new = here + a
                             if new not in now:
                                 now[new] = None
                                 work.append(new)
-                    if sub in self.nullable:
-                        new = (lhs, body, dot + 1, start)
-                        if new not in now:
+                    if self.may_be_empty[left]:
+                        new = item + 1
+                        if new not in now and ((can := opens[rule + 1]) is None or kind in can):
                             now[new] = None
                             work.append(new)
-                elif s[1] == kind and (s[0] == "t" and token.__class__ is str or s[0] == "g" and token.__class__ is tuple and not self.cost(s[2], token[1], 0)):
-                    nxt.append((lhs, body, dot + 1, start))
-            if lengths is not None and any(lhs == name and dot == len(body) and not start for lhs, body, dot, start in now):
+                elif s[1] == kind and (s[0] == "g" and not self.cost(s[2], token[1], 0) if grouped else s[0] == "t"):
+                    nxt.append(item + 1)
+            ended = (lengths is not None or i == n) and any(item < size and symbols[item] is None and lefts[item] == target for item in now)
+            if lengths is not None and ended:
                 lengths.add(i)
             if stop is not None:
-                stop[:] = [i, [b[d][2] for _, b, d, _ in now if d < len(b) and b[d][0] == "g" and b[d][1] == kind and token.__class__ is tuple]]
+                at = [symbols[item % size] for item in now]
+                stop[:] = [i, [s[2] for s in at if grouped and s and s[0] == "g" and s[1] == kind]]
             if i == n:
-                return any(lhs == name and dot == len(body) and not start for lhs, body, dot, start in now)
+                return ended
             if not nxt:
                 return False
             work = nxt
         return False
 
+    def _prefixes(self, name: str, seq: tuple, most: int) -> dict[int, int]:
+        """By length: the cost of each beginning of seq that can be made a `name`."""
+        key = (name, seq, most)
+        if (known := self.begun.get(key)) is None:
+            if len(self.begun) > REMEMBERED // 100:
+                self.begun.clear()
+            known = self.begun[key] = {}
+            self._repair(name, seq, most, None, known)
+        return known
+
     def _repair(self, name: str, seq: tuple, most: int, back: dict | None = None, prefixes: dict[int, int] | None = None) -> int:
-        """Chart whose items carry the cost of their edits; items dearer than `most` are dropped.
+        """Chart whose items carry the cost of their edits; items dearer than `most` are dropped, and so are those that have no
+        edit left and can't go on with the next token.
 
         prefixes, if given, gets the cost of each beginning of seq that can be made a `name`. back, if given, gets for each (place, item) what it came from: earlier (place, item) pairs and an edit, if there was one.
         """
-        whole = ("", (("n", name),), 1, 0)
-        charts: list[dict[tuple, int]] = []
-        waits: list[dict[str, list[tuple]]] = []
+        size, symbols, opens, lefts = self.size, self.symbols, self.opens, self.lefts
+        whole = self.wholes[name] + 1
+        charts: list[dict[int, int]] = []
+        waits: list[dict[int, list[int]]] = []
         #: By place and nonterminal: the least cost of all before it, where it is asked for. An item's own cost comes on top.
-        floors: list[dict[str, int]] = [{"": 0}]
-        carried: dict[tuple, tuple[int, tuple]] = {("", (("n", name),), 0, 0): (0, ((), None))}
+        floors: list[dict[int, int]] = [{-1: 0}]
+        carried: dict[int, tuple[int, tuple]] = {whole - 1: (0, ((), None))}
+        source: tuple | None = None
         for i in range(len(seq) + 1):
             token = seq[i] if i < len(seq) else None
             kind = "" if token is None else token if token.__class__ is str else token[0]
+            sort = "g" if token.__class__ is tuple else "t"
             weight = _weight(token, most + 1)  # a group that is left out or replaced costs all its tokens
-            now, wants, made, following = {}, {}, {}, {}
+            after = seq[i + 1] if i + 1 < len(seq) else ""
+            after = after if after.__class__ is str else after[0]
+            now, wants, made, following, here = {}, {}, {}, {}, i * size
             charts.append(now)
             waits.append(wants)
             if i:
@@ -334,58 +390,72 @@ class Grammar:
             floor = floors[i]
             queue: list[list[tuple]] = [[] for _ in range(most + 1)]
             for item, (c, source) in carried.items():
-                queue[floors[item[3]][item[0]] + c].append((item, c, source))
+                start, rule = divmod(item, size)
+                queue[floors[start][lefts[rule]] + c].append((item, c, source))
             for total in range(most + 1):
-                while queue[total]:
-                    item, c, source = queue[total].pop()
-                    if now.get(item, most + 1) <= c:
+                queued = queue[total]
+                while queued:
+                    item, c, source = queued.pop()
+                    if item in now and now[item] <= c:
                         continue
                     now[item] = c
                     if back is not None:
                         back[i, item] = source
-                    lhs, body, dot, start = item
-                    if dot == len(body):
+                    start, rule = divmod(item, size)
+                    s = symbols[rule]
+                    if s is None:
+                        left = lefts[rule]
                         if start == i:
-                            if lhs in made:
+                            if left in made:
                                 continue
-                            made[lhs] = (c, item)
-                        for w in waits[start].get(lhs, ()):
-                            d = (charts[start][w] if start < i else now[w]) + c
-                            if (all_ := floors[w[3]][w[0]] + d) <= most:
-                                queue[all_].append(((w[0], w[1], w[2] + 1, w[3]), d, (((start, w), (i, item)), None)))
+                            made[left] = (c, item)
+                        before = charts[start]
+                        for w in waits[start].get(left, ()):
+                            d = before[w] + c
+                            first, waiting = divmod(w, size)
+                            all_ = floors[first][lefts[waiting]] + d
+                            if all_ < most or all_ == most and ((can := opens[waiting + 1]) is None or kind in can):
+                                queue[all_].append((w + 1, d, None if back is None else (((start, w), (i, item)), None)))
                         continue
-                    s = body[dot]
-                    step = (lhs, body, dot + 1, start)
+                    step = item + 1
                     if s[0] == "n":
-                        if s[1] in wants:
-                            wants[s[1]].append(item)
+                        left = s[1]
+                        if left in wants:
+                            wants[left].append(item)
                         else:
-                            wants[s[1]] = [item]
-                            floor[s[1]] = total
-                            # Where no edit is left to make, only what the next token allows.
-                            for a in self.rules.get(s[1], ()) if total < most else self._predicted(s[1], kind):
-                                queue[total].append(((s[1], a, 0, i), 0, ((), None)))
-                        if s[1] in made and total + made[s[1]][0] <= most:
-                            queue[total + made[s[1]][0]].append((step, c + made[s[1]][0], (((i, item), (i, made[s[1]][1])), None)))
+                            wants[left] = [item]
+                            floor[left] = total
+                            # Where no edit is left to make, only what the next token allows; where one is, what it or the one after allows.
+                            for a in self.bases[left] if total < most - 1 else self._nearly(left, kind, after, weight == 1) if total < most else self._predicted(left, kind):
+                                queued.append((here + a, 0, ((), None)))
+                        if left in made:
+                            all_ = total + made[left][0]
+                            if all_ < most or all_ == most and ((can := opens[rule + 1]) is None or kind in can):
+                                queue[all_].append((step, c + made[left][0], (((i, item), (i, made[left][1])), None)))
                         continue
-                    if total < most:
-                        queue[total + 1].append((step, c + 1, (((i, item),), ("missing", i, None))))
+                    if total + 1 < most or total + 1 == most and ((can := opens[rule + 1]) is None or kind in can):
+                        queue[total + 1].append((step, c + 1, None if back is None else (((i, item),), ("missing", i, None))))
                     if token is not None:
                         edit = None
-                        if s[1] == (token if token.__class__ is str else token[0]) and (s[0] == "g") == (token.__class__ is tuple):
-                            d = self.cost(s[2], token[1], most - total) if s[0] == "g" else 0
+                        if s[1] == kind and s[0] == sort:
+                            d = self.cost(s[2], token[1], most - total) if sort == "g" else 0
                             if d:
                                 edit = ("within", i, s[2])
                         else:
                             d, edit = weight, ("other", i, None)
-                        if total + d <= most and (step not in following or c + d < following[step][0]):
-                            following[step] = (c + d, (((i, item),), edit))
+                        all_ = total + d
+                        if (all_ < most or all_ == most and ((can := opens[rule + 1]) is None or after in can)) and (step not in following or c + d < following[step][0]):
+                            following[step] = (c + d, None if back is None else (((i, item),), edit))
             if prefixes is not None and (c := now.get(whole)) is not None:
                 prefixes[i] = c
-            if token is not None:
+            if token is not None and weight <= most:
                 for item, c in now.items():
-                    if floors[item[3]][item[0]] + c + weight <= most and item[2] < len(item[1]) and (item not in following or c + weight < following[item][0]):
-                        following[item] = (c + weight, (((i, item),), ("stray", i, None)))
+                    start, rule = divmod(item, size)
+                    if symbols[rule] is None and item != whole:  # what comes after all may be left out too
+                        continue
+                    all_ = floors[start][lefts[rule]] + c + weight
+                    if (all_ < most or all_ == most and ((can := opens[rule]) is None or after in can)) and (item not in following or c + weight < following[item][0]):
+                        following[item] = (c + weight, None if back is None else (((i, item),), ("stray", i, None)))
             carried = following
             if not carried and token is not None:
                 return most + 1
@@ -418,7 +488,7 @@ class Grammar:
             return [e for b, held in parts if held for e in self.edits(item, tuple(seq[i] for i in held), tuple(places[i] for i in held), at(b), cost)]
         back: dict[tuple, tuple] = {}
         self._repair(name, seq, cost, back)
-        out, work, seen = [], [(len(seq), ("", (("n", name),), 1, 0))], set()
+        out, work, seen = [], [(len(seq), self.wholes[name] + 1)], set()
         while work:
             node = work.pop()
             if node in seen:

@@ -34,9 +34,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
-def _checked(spark: SparkSession, d: str, most: int = 0) -> DataFrame:
-    """Files by whether their least repair costs anything; with `most`, what it costs as far as that, and where it is."""
-    return syntax.check(table(spark, d, "source_files"), "file_id", "file_path", "content", ("repo",), most)
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """Files with what their least repair costs, and where it is."""
+    return syntax.check(table(spark, d, "source_files"), "file_id", "file_path", "content", ("repo",))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_faults(spark: SparkSession, d: str) -> DataFrame:
-    return _checked(spark, d, syntax.MOST).where("cost > 0").select("file_id", "repo", F.col("lang").alias("language"), "cost", "fault", "line")
+    return _checked(spark, d).where("cost > 0").select("file_id", "repo", F.col("lang").alias("language"), "cost", "fault", "line")
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:

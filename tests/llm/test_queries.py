@@ -2,10 +2,50 @@ from __future__ import annotations
 
 import pytest
 
-from siltstone.llm import queries
+from siltstone.llm import queries, syntax
 
 
 @pytest.mark.parametrize("name, columns", [("p1_found", ["chunk_a", "chunk_b"]), ("p2_found", ["file_id"]), ("p3_found", ["chunk_a", "chunk_b"]), ("p4_found", ["chunk_no"]), ("p5_found", ["answer_id", "defect"]), ("p6_ids", ["doc_id", "ids"]), ("p8_found", ["doc_id"])])
 def test_columns(spark, smallest, name, columns):
     df = queries.queries()[name](spark, smallest)
     assert df.columns == columns and df.count() > 0
+
+
+def test_all_of_p2_comes_from_least_repairs(spark, smallest, monkeypatch):
+    """No query of problem 2 asks for less than the least repair: what it costs, of which kind the fault is and where."""
+    check, checked = syntax.check, []
+    monkeypatch.setattr(syntax, "check", lambda *a, **k: checked.append(check(*a, **k)) or checked[-1])
+    found, faults, rates = (queries.queries()[name](spark, smallest) for name in ("p2_found", "p2_faults", "p2_rates"))
+    assert len(checked) == 3
+    for df in checked:
+        bad = df.where("cost > 0").collect()
+        assert max(r.cost for r in bad) > 1 and all(r.fault and r.line for r in bad)
+    assert {r.file_id for r in found.collect()} == {r.file_id for r in faults.collect()}
+    assert sum(r.invalid for r in rates.collect()) == faults.count()
+
+
+def test_a_chart_drops_only_what_no_edit_can_save():
+    """Costs of short sequences, as far as 3, are those of trying all edits."""
+    from itertools import product
+
+    from siltstone.llm.chart import Grammar
+
+    g = Grammar("e = t | e '+' t\nt = N | P:e | '-' t | o 'x'\no = N?\n")
+    tokens = ["+", "-", "N", "x", ("(", ("N",))]
+    valid = {seq for n in range(6) for seq in product(tokens, repeat=n) if not g.cost("e", seq, 0)}
+
+    def near(seqs):
+        """All that one edit makes of them; the group's three tokens are neither left out nor replaced by so few."""
+        out = set(seqs)
+        for s in seqs:
+            out |= {s[:i] + (t,) + s[i:] for t in tokens[:4] for i in range(len(s) + 1)}
+            for i, t in enumerate(s):
+                if isinstance(t, str):
+                    out |= {s[:i] + s[i + 1 :], *(s[:i] + (u,) + s[i + 1 :] for u in tokens)}
+        return out
+
+    for seq in product(tokens, repeat=3):
+        reached, cost = {seq}, 0
+        while cost < 3 and not reached & valid:
+            reached, cost = near(reached) if cost < 2 else set(), cost + 1
+        assert min(3, g.cost("e", seq, 3)) == cost, seq
