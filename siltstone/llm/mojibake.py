@@ -37,32 +37,25 @@ LOST = r"[\x{fffd}\x{80}-\x{84}\x{86}-\x{9f}]"
 
 
 @lru_cache(maxsize=None)
-def _table(name: str) -> tuple[dict[int, str], dict[str, int]] | None:
+def _table(name: str) -> tuple[str, dict[int, int]] | None:
     """Byte to character and back of an encoding of single bytes; bytes without a character stand for themselves."""
     if len(codecs.encode("é" if name not in ("cp1251", "koi8-r", "cp866", "cp1253") else "я" if name != "cp1253" else "α", name, "replace")) != 1 or name in ("gbk", "big5", "cp949", "shift_jis", "euc_jp", "utf-8"):
         return None
     there = {b: bytes([b]).decode(name, "replace") for b in range(256)}
     there = {b: chr(b) if c == REPLACEMENT else c for b, c in there.items()}
-    return there, {c: b for b, c in there.items()}
+    return "".join(there.values()), {ord(c): b for b, c in there.items()}
 
 
 def _to_bytes(text: str, name: str) -> bytes | None:
-    if t := _table(name):
-        try:
-            return bytes([t[1][c] for c in text])
-        except KeyError:
-            return None
     try:
-        return text.encode(name)
+        return codecs.charmap_encode(text, "strict", t[1])[0] if (t := _table(name)) else text.encode(name)
     except UnicodeError:
         return None
 
 
 def _to_text(data: bytes, name: str) -> str | None:
-    if t := _table(name):
-        return "".join(t[0][b] for b in data)
     try:
-        return data.decode(name)
+        return codecs.charmap_decode(data, "strict", t[0])[0] if (t := _table(name)) else data.decode(name)
     except UnicodeError:
         return None
 
@@ -79,9 +72,10 @@ def restore(text: str, written: str, read: str) -> str | None:
 
 RUN = re.compile(r"[^\x00-\x7f]+")
 #: Fixed rule: letters, digits and everything outside ASCII make words.
-JAVA_WORD = r"([A-Za-z0-9\x{80}-\x{10ffff}]*[\x{80}-\x{10ffff}][A-Za-z0-9\x{80}-\x{10ffff}]*)"
+#: They are tried where they begin only, and left at their end if they hold ASCII alone.
+JAVA_WORD = r"((?<![A-Za-z0-9])[A-Za-z0-9]*+[\x{80}-\x{10ffff}][A-Za-z0-9\x{80}-\x{10ffff}]*+)"
 #: Code spans quote characters as examples: what stands between single back quotes within a line.
-JAVA_SPAN = r"(?<!`)`[^`\r\n]*`(?!`)"
+JAVA_SPAN = r"`(?<!``)[^`\r\n]*+`(?!`)"
 
 
 def odd_words(text: Column) -> Column:
@@ -100,10 +94,14 @@ def vote(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for bad, good, bones in zip(batch["bad"], batch["good"], batch["skeleton"]):
             aligned = list(zip(RUN.findall(bad), RUN.findall(good)))
+            changed = [(g, c) for g, c in aligned if g != c]
             for written in WRITTEN:
+                data = [_to_bytes(c, written) for _, c in changed]
+                if None in data:
+                    continue
                 for read in READ:
-                    if written != read and all(g == c or garble(c, written, read) == g for g, c in aligned):
-                        out += [(written, read, g, c, bones) for g, c in aligned if g != c]
+                    if written != read and all(_to_text(b, read) == g for b, (g, _) in zip(data, changed)):
+                        out += [(written, read, g, c, bones) for g, c in changed]
         yield pd.DataFrame(out, columns=["written", "read", "bad", "good", "skeleton"])
 
 
@@ -133,8 +131,12 @@ def learn(words: DataFrame) -> list[tuple[str, str]]:
 
 def _undo(word: str, ways: list[tuple[str, str]]) -> Iterator[tuple[str, bool]]:
     """(restored, strong): what the word may have been. strong: its bytes are valid UTF-8, which chance hardly makes."""
+    read_as: dict[str, bytes | None] = {}
     for written, read in ways:
-        if (back := restore(word, written, read)) is not None and (written == "utf-8" or back.isprintable()):
+        if read not in read_as:
+            read_as[read] = _to_bytes(word, read)
+        back = None if (data := read_as[read]) is None else _to_text(data, written)
+        if back is not None and back != word and (written == "utf-8" or back.isprintable()) and garble(back, written, read) == word:
             yield back, written == "utf-8"
 
 
@@ -152,28 +154,35 @@ def _peel(word: str, ways: list[tuple[str, str]]) -> str | None:
 
 
 def candidates(words: DataFrame, ways: list[tuple[str, str]]) -> DataFrame:
-    """(word, n, restored, strong) of every way to undo a learned transformation on each word.
+    """(word, n, restored, strong) of every way to undo a learned transformation on each word; not strong are only those
+    whose characters are all frequent enough for a word that is RATIO times as frequent.
 
     UTF-8 is put right in the whole word or, where that fails, in each run by itself; parts beside
     a lost character are put right too, but the word stays lost.
     """
     seen = characters(words)
+    strong_ways, weak_ways = [w for w in ways if w[0] == "utf-8"], [w for w in ways if w[0] != "utf-8"]
 
     def likely(word: str, back: str) -> bool:
         """No character of the restored word is far rarer in the corpus than the rarest of the word."""
         rarest = min(seen.get(c, 0) for c in word if c > "\x7f")
         return all(seen.get(c, 1) * RATIO >= rarest for c in back if c > "\x7f")
 
+    def frequent(back: str, least: int) -> bool:
+        """Each word counts for all its characters, so none of them is rarer than the word."""
+        return all(seen.get(c, 0) >= least for c in back if c > "\x7f")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        peel = lru_cache(1 << 16)(lambda text: _peel(text, strong_ways))
         for batch in batches:
             out = []
             for word, n in zip(batch["word"], batch["n"]):
-                back = _peel(word, ways) or RUN.sub(lambda m: _peel(m[0], ways) or m[0], word)
+                back = peel(word) or RUN.sub(lambda m: peel(m[0]) or m[0], word)
                 if back != word:
                     if likely(word, back):
                         out.append((word, n, back, True))
-                else:
-                    out += [(word, n, b, False) for b in dict.fromkeys(b for b, strong in _undo(word, ways) if not strong)]
+                elif len(word) >= 2:
+                    out += [(word, n, b, False) for b in dict.fromkeys(b for b, _ in _undo(word, weak_ways)) if frequent(b, RATIO * n)]
             yield pd.DataFrame(out, columns=["word", "n", "restored", "strong"])
 
     return _spread(words.select("word", "n"), "word").mapInPandas(run, "word string, n long, restored string, strong boolean")
@@ -196,7 +205,7 @@ def garbled_words(words: DataFrame, ways: list[tuple[str, str]]) -> DataFrame:
     tried = materialize(candidates(words, ways), "tried")
     strong = tried.where("strong").select("word", "restored", F.lit(None).cast("long").alias("often"))
     known = words.select(F.col("word").alias("restored"), F.col("n").alias("often"))
-    weak = tried.where("NOT strong").join(known, "restored").where((F.col("often") >= RATIO * F.col("n")) & (F.length("word") >= 2)).select("word", "restored", "often")
+    weak = tried.where("NOT strong").join(known, "restored").where(F.col("often") >= RATIO * F.col("n")).select("word", "restored", "often")
     lost = words.where(F.col("word").rlike(LOST)).select("word", F.lit(None).cast("string").alias("restored"), F.lit(None).cast("long").alias("often"))
     both = strong.unionByName(weak).unionByName(lost)
     return both.groupBy("word").agg(F.max_by("restored", F.coalesce("often", F.when(F.col("restored").isNotNull(), F.lit(1 << 40)))).alias("restored"))

@@ -217,3 +217,25 @@ def test_mojibake(spark):
     assert texts[100] == (clean[0], True) and texts[102] == (clean[2], True) and texts[104] == ("Une fenêtre très cachée", True)
     assert texts[103] == (bad[103], False)
     assert M.find(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_candidates_are_words_that_can_be_frequent(spark):
+    """Only what may be a word RATIO times as frequent is given on to the join; words of one character never are."""
+    rows = [("při", 20), ("pøi", 1), ("kø", 2), ("ø", 1), ("zï", 1), ("zø", 9), ("caf" + M.garble("é", "utf-8", "cp1252"), 1), ("café", 9), ("😀a", 3)]
+    words = spark.createDataFrame(rows, "word string, n long").withColumn("skeleton", M.skeleton(M.F.col("word")))
+    ways = [("cp1250", "cp1252"), ("utf-8", "cp1252")]
+    assert M.characters(words)["😀"] == 3
+    found = {(r.word, r.restored, r.strong) for r in M.candidates(words, ways).collect()}
+    assert found == {("pøi", "při", False), ("kø", "kř", False), ("cafÃ©", "café", True)}
+    assert {(r.word, r.restored) for r in M.garbled_words(words, ways).collect()} == {("pøi", "při"), ("cafÃ©", "café")}
+
+
+def test_words_are_cut_as_before(spark):
+    """Words and code spans: the patterns that don't look twice agree with the plain ones."""
+    plain_span, plain_word = r"(?<!`)`[^`\r\n]*`(?!`)", r"([A-Za-z0-9\x{80}-\x{10ffff}]*[\x{80}-\x{10ffff}][A-Za-z0-9\x{80}-\x{10ffff}]*)"
+    texts = ["aé1 b_é ćd éé.e 12é3x plain Zß", "`é` a ``é`` b ```é\nü``` `ö`` x` ü` `` ä`ß`", "`é\nü` ``", "", "``é`é`", "日本語text😀x y", "a" * 50 + "é" + "b" * 50 + " " + "c" * 50, "`" * 7 + "é`", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    F = M.F
+    old = F.array_distinct(F.regexp_extract_all(F.regexp_replace("t", plain_span, " "), F.lit(plain_word), F.lit(1)))
+    for t, a, b in df.select("t", old, M.odd_words(F.col("t"))).collect():
+        assert a == b, t
