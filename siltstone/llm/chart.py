@@ -23,6 +23,13 @@ REMEMBERED = 300_000
 #: Ends that are tried one by one; the ends beyond are found by one chart over all that follows.
 REACH = 12
 OPENERS = {"P": "(", "B": "[", "C": "{", "S": "${", "I": "I"}
+#: Tokens and groups that can end a statement.
+PARTED, BLOCKS = frozenset((";", "NL", "BR")), frozenset(("{", "I"))
+#: How a group shows in the outline of a sequence.
+GROUPS = {o: o + " group" for o in OPENERS.values()}
+#: Neighbours that are looked at together to tell that they stand next to each other in no text of the language.
+NEIGHBOURS = 4
+NOTHING: tuple[frozenset[int], dict[int, list[int]]] = (frozenset(), {})
 
 
 class Grammar:
@@ -36,8 +43,11 @@ class Grammar:
         #: For lists of items whose order matters: which items are out of place.
         self.orders = orders or {}
         self.costs: dict[tuple, int] = {}
-        self.bads: dict[tuple, int] = {}
+        self.bads: dict[tuple, tuple[int, int]] = {}
         self.begun: dict[tuple, dict[int, int]] = {}
+        #: What charts found, by the outlines of sequences and what was asked about their groups.
+        self.known: dict[tuple, object] = {}
+        self.held = 0
         self._fresh = 0
         for line in re.sub(r"\n[ \t]+", " ", text).split("\n"):
             if not line.strip():
@@ -127,7 +137,75 @@ class Grammar:
         self.may_be_empty = [n in self.nullable for n in self.rules]
         #: By nonterminal and next token: the alternatives that can start with it, or be empty.
         self.starts: dict[tuple[int, str], list[int]] = {}
-        self.near: dict[tuple[int, str, str, bool], list[int]] = {}
+        self.living: dict[tuple, tuple[frozenset[int], dict[int, list[int]]]] = {}
+        self._look_ahead()
+        # For neighbours, a list is its items, and what parts them, in any order.
+        lists = {len(self.ids) + k: [self._dotted(len(self.ids) + k, (x,)) for x in [("n", item), ("t", sep)][: 2 if sep else 1]] for k, (item, sep) in enumerate(self.lists.values())}
+        #: Rules with the dot after a symbol, and after a nonterminal; by the outline's symbols and by nonterminal.
+        self.past: dict[str, list[int]] = {}
+        self.behind: dict[int, list[int]] = lists
+        for rule, s in enumerate(self.symbols):
+            if s is not None and s[0] == "n":
+                self.behind.setdefault(s[1], []).append(rule + 1)
+            elif s is not None:
+                self.past.setdefault(s[1] if s[0] == "t" else GROUPS[s[1]], []).append(rule + 1)
+        self.neighbours: dict[tuple, tuple[list[int], list[dict[int, list[int]]]]] = {}
+        #: By opening bracket: what groups can be.
+        self.wanted: dict[str, set[str]] = {}
+        for s in self.symbols:
+            if s is not None and s[0] == "g":
+                self.wanted.setdefault(s[1], set()).add(s[2])
+
+    def _look_ahead(self) -> None:
+        """What can come next after each rule with a dot, what can come second, and whether its rest can be one symbol or none.
+
+        Both go beyond the end of a rule by what can follow its nonterminal anywhere; "" is the end of the sequence.
+        """
+        count, symbols, lefts = len(self.ids), self.symbols, self.lefts
+        first = [self.first[n] for n in self.ids]
+        empty, single, second = self.may_be_empty, [False] * count, [set() for _ in range(count)]
+        follow, later = [set() for _ in range(count + 1)], [set() for _ in range(count + 1)]  # the last is that of -1
+        follow[-1].add("")
+        later[-1].add("")
+        #: By rule with a dot: first symbols, second ones, whether the rest can be empty or a single symbol; without what follows.
+        self.ahead: list[tuple[set[str], set[str], bool, bool]] = [(set(), set(), True, False)] * self.size
+        grown = True
+        while grown:
+            grown = False
+            for rule in range(self.size - 1, -1, -1):
+                if (s := symbols[rule]) is None:
+                    continue
+                a, b, none, one = self.ahead[rule + 1]
+                if s[0] == "n":
+                    k = s[1]
+                    new = (first[k] | a if empty[k] else first[k], second[k] | (a if single[k] else set()) | (b if empty[k] else set()), empty[k] and none, single[k] and none or empty[k] and one)
+                else:
+                    new = ({s[1]}, a, False, none)
+                if new != self.ahead[rule]:
+                    self.ahead[rule], grown = new, True
+            for k, bases in enumerate(self.bases):
+                for rule in bases:
+                    _, b, _, one = self.ahead[rule]
+                    if not b <= second[k] or one and not single[k]:
+                        second[k] |= b
+                        single[k] |= one
+                        grown = True
+        grown = True
+        while grown:
+            grown = False
+            for rule in range(self.size):
+                s = symbols[rule]
+                if s is None or s[0] != "n":
+                    continue
+                left, (a, b, none, one) = lefts[rule], self.ahead[rule + 1]
+                near = a | follow[left] if none else a
+                far = b | (follow[left] if one else set()) | (later[left] if none else set())
+                if not near <= follow[s[1]] or not far <= later[s[1]]:
+                    follow[s[1]] |= near
+                    later[s[1]] |= far
+                    grown = True
+        self.nexts = [a | follow[left] if none else a for left, (a, _, none, _) in zip(lefts, self.ahead)]
+        self.soon = [n | b | (follow[left] if one else set()) | (later[left] if none else set()) for left, n, (_, b, none, one) in zip(lefts, self.nexts, self.ahead)]
 
     def _dotted(self, left: int, body: tuple) -> int:
         base = len(self.lefts)
@@ -154,29 +232,38 @@ class Grammar:
             self.starts[key] = [a for a in self.bases[left] if self.opens[a] is None or kind in self.opens[a]]
         return self.starts[key]
 
-    def _nearly(self, left: int, kind: str, after: str, single: bool) -> list[int]:
-        """The alternatives that a single edit may make start with the next token; single: whether that is one edit to leave out."""
-        key = (left, kind, after, single)
-        if key not in self.near:
-            can = lambda a, k: self.opens[a] is None or k in self.opens[a]
-            self.near[key] = [
-                a for a in self.bases[left]
-                if (s := self.symbols[a]) is None or s[0] == "n" or can(a, kind) or can(a + 1, kind) or single and (can(a, after) or can(a + 1, after))
-            ]
-        return self.near[key]
+    def _alive(self, kind: str, after: str | None, edits: int, open_: bool) -> tuple[frozenset[int], dict[int, list[int]]]:
+        """The rules with a dot that can go on before the next token with so many edits (0 or 1) left, and by nonterminal its alternatives among them.
+
+        after: the token after the next one, or None if it takes more than an edit to leave the next one out;
+        open_: whether the sequence may end here, or, with an edit, after the next token.
+        """
+        key = (kind, after, edits, open_)
+        if (known := self.living.get(key)) is None:
+            rules = range(self.size)
+            if edits:
+                held = [x for x in rules if kind in self.soon[x] or after in self.soon[x] or open_ and (self.ahead[x][2] or self.ahead[x][3])]
+            else:
+                held = [x for x in rules if kind in self.nexts[x] or open_ and self.ahead[x][2]]
+            known = self.living[key] = (frozenset(held), {})
+        return known
 
     # -- costs ---------------------------------------------------------------------------------
 
     def cost(self, name: str, seq: tuple, most: int) -> int:
         """Least edits that make seq a `name`; most + 1 if more than `most` are needed."""
         if "BR" in seq and (name not in self.lists or self.lists[name][1]):
-            seq = tuple(t for t in seq if t != "BR")
+            seq = tuple([t for t in seq if t != "BR"])
+        return self._cost(name, seq, most)
+
+    def _cost(self, name: str, seq: tuple, most: int) -> int:
+        """The same, of a sequence whose line breaks are left out if they are white space."""
         key = (name, seq, most)
         if (known := self.costs.get(key)) is None:
             if len(self.costs) > REMEMBERED:
                 self.costs.clear()
-            if most and self._bad(seq) > most:
-                known = most + 1  # each of these tokens takes an edit
+            if most and self._least(seq, most) > most:
+                known = most + 1
             elif most > 1 and (fewer := self.cost(name, seq, most - 1)) < most:
                 known = fewer  # widened step by step: most files need few edits
             elif name in self.lists:
@@ -191,14 +278,110 @@ class Grammar:
             self.costs[key] = known
         return known
 
-    def _bad(self, seq: tuple) -> int:
-        """Tokens of a sequence and its groups that no language has."""
-        if (known := self.bads.get(seq)) is None:
+    def _least(self, seq: tuple, most: int, opener: str = "") -> int:
+        """Edits that a sequence and its groups take at least, whatever they are to be; counted until there are more than `most`."""
+        known, upto = self.bads.get(seq, (0, -1))
+        if upto < most and known <= upto or upto < 0:
             if len(self.bads) > REMEMBERED:
                 self.bads.clear()
-            known = self.bads[seq] = seq.count("BAD") + sum(self._bad(t[1]) for t in seq if t.__class__ is tuple)
+            known = 0 if self._sound(seq, opener) else self._needs(seq, most)[0]
+            self.bads[seq] = known, most if known > most else REMEMBERED
+        return known
+
+    def _sound(self, seq: tuple, opener: str) -> bool:
+        """Whether the content of a group is known to be something that such groups can be."""
+        bare = tuple([t for t in seq if t != "BR"]) if "BR" in seq else seq
+        return any(self.costs.get((want, seq if want in self.lists and not self.lists[want][1] else bare, 0)) == 0 for want in self.wanted.get(opener, ()))
+
+    def _needs(self, seq: tuple, most: int) -> list[int]:
+        """For each place of a sequence without line breaks, and two after it: the edits that what starts there or later takes at least;
+        counted until there are more than `most`.
+
+        Neighbours that stand next to each other in no text take an edit, of one of them or between them; none of them is counted twice.
+        A group that is left out or replaced costs all its tokens, which is one more than what is counted in it.
+        """
+        bare = tuple([t for t in seq if t != "BR"]) if "BR" in seq else seq
+        outline = tuple([t if t.__class__ is str else GROUPS[t[0]] for t in bare])
+        needs = [0] * (len(outline) + 3)
+        begin = total = 0
+        for i, t in enumerate(bare):
+            a = max(begin, i + 1 - NEIGHBOURS)
+            if not self._fit(outline[a : i + 1]):
+                while a < i and not self._fit(outline[a + 1 : i + 1]):
+                    a += 1
+                needs[a] += 1
+                total += 1
+                begin = i + 1
+            if t.__class__ is tuple and (inner := self._least(t[1], most - total, t[0]) if total <= most else 0):
+                needs[i] += inner
+                total += inner
+            if total > most:
+                break
+        for i in range(len(outline) - 1, -1, -1):
+            needs[i] += needs[i + 1]
+        return needs
+
+    def _fit(self, outline: tuple) -> bool:
+        """Whether these symbols stand next to each other in some text, groups being what they should."""
+        return bool(self._neighbours(outline)[0])
+
+    def _neighbours(self, outline: tuple) -> tuple[list[int], list[dict[int, list[int]]]]:
+        """What a chart that begins with all rules, anywhere, has after these symbols, and what waits at each of them."""
+        if (known := self.neighbours.get(outline)) is None:
+            if len(self.neighbours) > REMEMBERED // 20:
+                self.neighbours.clear()
+            if len(outline) == NEIGHBOURS:  # nothing goes on from here
+                known = self._next_to(outline)[0][:1], []
+            elif len(outline) > 1:
+                known = self._next_to(outline)
+            else:  # what began before the first symbol begins at 0
+                known = self.past.get(outline[0], []), [{}]
+            self.neighbours[outline] = known
         return known
 
+    def _next_to(self, outline: tuple) -> tuple[list[int], list[dict[int, list[int]]]]:
+        size, symbols, opens, lefts = len(self.symbols), self.symbols, self.opens, self.lefts
+        before, waiting = self._neighbours(outline[:-1])
+        if not before:
+            return [], []
+        i, token = len(outline) - 1, outline[-1]
+        kind = token.removesuffix(" group")
+        wants: dict[int, list[int]] = {}
+        waiting = [*waiting, wants]
+        work, nxt, here = list(before), [], i * size
+        now = set(work)
+        while work:
+            item = work.pop()
+            start, rule = divmod(item, size)
+            s = symbols[rule]
+            if s is None:
+                if start == i:
+                    continue
+                for w in waiting[start].get(lefts[rule], ()) if start else self.behind.get(lefts[rule], ()):
+                    new = w + 1 if start else w
+                    if new not in now and ((can := opens[new % size]) is None or kind in can):
+                        now.add(new)
+                        work.append(new)
+                continue
+            if s[0] == "n":
+                left = s[1]
+                if left in wants:
+                    wants[left].append(item)
+                else:
+                    wants[left] = [item]
+                    for a in self._predicted(left, kind):
+                        if here + a not in now:
+                            now.add(here + a)
+                            work.append(here + a)
+                if self.may_be_empty[left]:
+                    new = item + 1
+                    if new not in now and ((can := opens[rule + 1]) is None or kind in can):
+                        now.add(new)
+                        work.append(new)
+            elif token == (s[1] if s[0] == "t" else GROUPS[s[1]]):
+                nxt.append(item + 1)
+        return nxt, waiting
+
     def _separated(self, item: str, sep: str, seq: tuple, most: int, cuts: list | None = None) -> int:
         ends = [i for i, t in enumerate(seq) if t == sep]
         if not ends or ends[-1] != len(seq) - 1:  # a last separator may be left over
@@ -230,11 +413,12 @@ class Grammar:
 
     def _statements(self, item: str, seq: tuple, most: int, cuts: list | None = None) -> int:
         """A chart over the ends of statements: best[i] is the cost of all statements before the i-th token."""
-        n = len(seq)
-        ends = [i + 1 for i, t in enumerate(seq) if t in (";", "NL", "BR") or t.__class__ is tuple and self.blocks_end and t[0] in ("{", "I")]
+        n, breaks = len(seq), "BR" in seq
+        ends = [i + 1 for i, t in enumerate(seq) if (t in PARTED if t.__class__ is str else self.blocks_end and t[0] in BLOCKS)]
         if not ends or ends[-1] != n:
             ends.append(n)
         best, begin = {0: 0}, {}
+        needs, bare = (self._needs(seq, most), _bare_places(seq)) if most else ([], [])
         for at, i in enumerate([0, *ends]):
             if i not in best or i == n:
                 continue
@@ -247,9 +431,9 @@ class Grammar:
                 tried += 1
                 # Line breaks only part statements; within one they are white space.
                 if tried <= REACH:
-                    part = tuple(t for t in seq[i:j] if t != "BR")
+                    part = tuple([t for t in seq[i:j] if t != "BR"]) if breaks else seq[i:j]
                     size, end = len(part), j
-                    c = self.cost(item, part, 0) if part else 0
+                    c = self._cost(item, part, 0) if part else 0
                 else:
                     rest = rest or tuple(t for t in seq[i:] if t != "BR")
                     if lengths is None:
@@ -263,15 +447,19 @@ class Grammar:
                 if c and most > base:
                     if repairs is None:  # of all ends at once
                         rest = rest or tuple(t for t in seq[i:] if t != "BR")
-                        repairs = self._prefixes(item, rest, most - base)
+                        repairs = self._prefixes(item, rest, most - base, tuple(bare[j] - bare[i] for j in ends if j > i), tuple(needs[bare[i] :]))
                     c = repairs.get(size, most + 1)
                 elif c:
                     c = most + 1
-                if base + c <= most and base + c < best.get(j, most + 1):
+                if base + c + (needs[bare[j]] if most else 0) <= most and base + c < best.get(j, most + 1):
                     best[j], begin[j] = base + c, i
-                after = next((t for t in seq[j:] if t != "BR"), "")
-                if not c and (after.__class__ is tuple and after[0] not in self.more or after.__class__ is str and after not in self.more):
-                    break
+                if not c:
+                    k = j
+                    while k < n and seq[k] == "BR":
+                        k += 1
+                    after = seq[k] if k < n else ""
+                    if (after if after.__class__ is str else after[0]) not in self.more:
+                        break
         if cuts is not None:
             j = n if n in best else max(best)
             if n not in best:
@@ -283,7 +471,34 @@ class Grammar:
         return best.get(n, most + 1)
 
     def _recognise(self, name: str, seq: tuple) -> bool:
-        return self._chart(name, seq)
+        """Whether seq is a `name`: as its chart would ask about its groups, by the answers for an equal outline before."""
+        key = (name, tuple([t if t.__class__ is str else GROUPS[t[0]] for t in seq]))
+        node = self.known.get(key)
+        while node.__class__ is Node:
+            node = node.nexts.get(self.cost(node.want, seq[node.at][1], 0))
+        if node is None:
+            asked: list[tuple] = []
+            node = self._chart(name, seq, None, None, asked)
+            self._remember(key, asked, node)
+        return node
+
+    def _remember(self, key: tuple, asked: list[tuple], result: object) -> None:
+        """Holds a result under what was asked for it, in order: (place, nonterminal, edits, answer)."""
+        if len(self.known) > REMEMBERED // 10 or self.held > REMEMBERED // 3:
+            self.known.clear()
+            self.held = 0
+        self.held += len(asked) + 1
+        if not asked:
+            self.known[key] = result
+            return
+        node = self.known.get(key)
+        if node is None:
+            node = self.known[key] = Node(*asked[0][:3])
+        for (*_, answer), (at, want, most, _) in zip(asked, asked[1:]):
+            if (following := node.nexts.get(answer)) is None:
+                following = node.nexts[answer] = Node(at, want, most)
+            node = following
+        node.nexts[asked[-1][3]] = result
 
     def _lengths(self, name: str, seq: tuple) -> set[int]:
         """How many tokens of seq, from its start, can be a `name`."""
@@ -291,9 +506,9 @@ class Grammar:
         self._chart(name, seq, lengths)
         return lengths
 
-    def _chart(self, name: str, seq: tuple, lengths: set[int] | None = None, stop: list | None = None) -> bool:
+    def _chart(self, name: str, seq: tuple, lengths: set[int] | None = None, stop: list | None = None, asked: list[tuple] | None = None) -> bool:
         """Plain Earley chart with one token of foresight: whether seq is a `name`, the lengths at which one could end, and
-        where it can't go on, with what the groups there would have to be."""
+        where it can't go on, with what the groups there would have to be; asked gets what it asks about groups."""
         n, size, symbols, opens, lefts = len(seq), self.size, self.symbols, self.opens, self.lefts
         target = self.ids[name]
         waiting: list[dict[int, list[int]]] = []
@@ -304,6 +519,7 @@ class Grammar:
             kind = token if token.__class__ is str else token[0]
             grouped = token.__class__ is tuple
             wants: dict[int, list[int]] = {}
+            answers: dict[str, int] = {}
             waiting.append(wants)
             now = dict.fromkeys(work)
             work, nxt, here = list(now), [], i * size
@@ -336,7 +552,15 @@ class Grammar:
                         if new not in now and ((can := opens[rule + 1]) is None or kind in can):
                             now[new] = None
                             work.append(new)
-                elif s[1] == kind and (s[0] == "g" and not self.cost(s[2], token[1], 0) if grouped else s[0] == "t"):
+                elif s[1] == kind and s[0] == ("g" if grouped else "t"):
+                    if grouped:
+                        want = s[2]
+                        if (answer := answers.get(want)) is None:
+                            answer = answers[want] = self.cost(want, token[1], 0)
+                            if asked is not None:
+                                asked.append((i, want, 0, answer))
+                        if answer:
+                            continue
                     nxt.append(item + 1)
             ended = (lengths is not None or i == n) and any(item < size and symbols[item] is None and lefts[item] == target for item in now)
             if lengths is not None and ended:
@@ -351,23 +575,29 @@ class Grammar:
             work = nxt
         return False
 
-    def _prefixes(self, name: str, seq: tuple, most: int) -> dict[int, int]:
-        """By length: the cost of each beginning of seq that can be made a `name`."""
-        key = (name, seq, most)
+    def _prefixes(self, name: str, seq: tuple, most: int, ends: tuple[int, ...], needs: tuple[int, ...]) -> dict[int, int]:
+        """By length, of those in `ends`: the cost of each beginning of seq that can be made a `name` and leaves what the rest needs."""
+        key = (name, seq, most, ends, needs)
         if (known := self.begun.get(key)) is None:
             if len(self.begun) > REMEMBERED // 100:
                 self.begun.clear()
             known = self.begun[key] = {}
-            self._repair(name, seq, most, None, known)
+            self._repair(name, seq, most, None, known, frozenset(ends), needs)
         return known
 
-    def _repair(self, name: str, seq: tuple, most: int, back: dict | None = None, prefixes: dict[int, int] | None = None) -> int:
-        """Chart whose items carry the cost of their edits; items dearer than `most` are dropped, and so are those that have no
-        edit left and can't go on with the next token.
+    def _repair(self, name: str, seq: tuple, most: int, back: dict | None = None, prefixes: dict[int, int] | None = None, ends: frozenset[int] = frozenset(), needs: tuple[int, ...] | None = None) -> int:
+        """Chart whose items carry the cost of their edits; items dearer than `most` with what the tokens ahead need are dropped, and so are those
+        that have no edit left and can't go on with the next token, or have one left and can't go on with it or the one after.
 
-        prefixes, if given, gets the cost of each beginning of seq that can be made a `name`. back, if given, gets for each (place, item) what it came from: earlier (place, item) pairs and an edit, if there was one.
+        prefixes, if given, gets the cost of each beginning of seq, of the lengths in `ends`, that can be made a `name`. back, if given, gets for each (place, item) what it came from: earlier (place, item) pairs and an edit, if there was one.
         """
-        size, symbols, opens, lefts = self.size, self.symbols, self.opens, self.lefts
+        size, symbols, lefts = self.size, self.symbols, self.lefts
+        n, free = len(seq), range(self.size)
+        kinds = [t if t.__class__ is str else t[0] for t in seq] + [""] * 2
+        if needs is None:
+            needs = tuple(self._needs(seq, most))
+        if needs[0] > most:
+            return most + 1
         whole = self.wholes[name] + 1
         charts: list[dict[int, int]] = []
         waits: list[dict[int, list[int]]] = []
@@ -375,13 +605,17 @@ class Grammar:
         floors: list[dict[int, int]] = [{-1: 0}]
         carried: dict[int, tuple[int, tuple]] = {whole - 1: (0, ((), None))}
         source: tuple | None = None
-        for i in range(len(seq) + 1):
-            token = seq[i] if i < len(seq) else None
-            kind = "" if token is None else token if token.__class__ is str else token[0]
+        weight = _weight(seq[0] if n else None, most + 1)
+        live = self._live(kinds, 0, weight, most, ends, needs)
+        for i in range(n + 1):
+            token = seq[i] if i < n else None
+            kind = kinds[i]
             sort = "g" if token.__class__ is tuple else "t"
-            weight = _weight(token, most + 1)  # a group that is left out or replaced costs all its tokens
-            after = seq[i + 1] if i + 1 < len(seq) else ""
-            after = after if after.__class__ is str else after[0]
+            # A group that is left out or replaced costs all its tokens.
+            then = _weight(seq[i + 1] if i + 1 < n else None, most + 1)
+            coming = self._live(kinds, i + 1, then, most, ends, needs) if i < n else live
+            alive, arrive = [x[0] if x else free for x in live], [x[0] if x else free for x in coming]
+            answers: dict[tuple[str, int], int] = {}
             now, wants, made, following, here = {}, {}, {}, {}, i * size
             charts.append(now)
             waits.append(wants)
@@ -414,7 +648,7 @@ class Grammar:
                             d = before[w] + c
                             first, waiting = divmod(w, size)
                             all_ = floors[first][lefts[waiting]] + d
-                            if all_ < most or all_ == most and ((can := opens[waiting + 1]) is None or kind in can):
+                            if all_ <= most and waiting + 1 in alive[all_]:
                                 queue[all_].append((w + 1, d, None if back is None else (((start, w), (i, item)), None)))
                         continue
                     step = item + 1
@@ -426,27 +660,32 @@ class Grammar:
                             wants[left] = [item]
                             floor[left] = total
                             # Where no edit is left to make, only what the next token allows; where one is, what it or the one after allows.
-                            for a in self.bases[left] if total < most - 1 else self._nearly(left, kind, after, weight == 1) if total < most else self._predicted(left, kind):
+                            bases = self.bases[left]
+                            if (allowed := live[total]) is not None and (bases := allowed[1].get(left)) is None:
+                                bases = allowed[1][left] = [a for a in self.bases[left] if a in allowed[0]]
+                            for a in bases:
                                 queued.append((here + a, 0, ((), None)))
                         if left in made:
                             all_ = total + made[left][0]
-                            if all_ < most or all_ == most and ((can := opens[rule + 1]) is None or kind in can):
+                            if all_ <= most and rule + 1 in alive[all_]:
                                 queue[all_].append((step, c + made[left][0], (((i, item), (i, made[left][1])), None)))
                         continue
-                    if total + 1 < most or total + 1 == most and ((can := opens[rule + 1]) is None or kind in can):
+                    if total < most and rule + 1 in alive[total + 1]:
                         queue[total + 1].append((step, c + 1, None if back is None else (((i, item),), ("missing", i, None))))
                     if token is not None:
                         edit = None
                         if s[1] == kind and s[0] == sort:
-                            d = self.cost(s[2], token[1], most - total) if sort == "g" else 0
+                            d = 0
+                            if sort == "g" and (d := answers.get((s[2], total))) is None:
+                                d = answers[s[2], total] = self.cost(s[2], token[1], most - total - needs[i + 1])
                             if d:
                                 edit = ("within", i, s[2])
                         else:
                             d, edit = weight, ("other", i, None)
                         all_ = total + d
-                        if (all_ < most or all_ == most and ((can := opens[rule + 1]) is None or after in can)) and (step not in following or c + d < following[step][0]):
+                        if all_ <= most and rule + 1 in arrive[all_] and (step not in following or c + d < following[step][0]):
                             following[step] = (c + d, None if back is None else (((i, item),), edit))
-            if prefixes is not None and (c := now.get(whole)) is not None:
+            if i in ends and (c := now.get(whole)) is not None:
                 prefixes[i] = c
             if token is not None and weight <= most:
                 for item, c in now.items():
@@ -454,13 +693,28 @@ class Grammar:
                     if symbols[rule] is None and item != whole:  # what comes after all may be left out too
                         continue
                     all_ = floors[start][lefts[rule]] + c + weight
-                    if (all_ < most or all_ == most and ((can := opens[rule]) is None or after in can)) and (item not in following or c + weight < following[item][0]):
+                    if all_ <= most and rule in arrive[all_] and (item not in following or c + weight < following[item][0]):
                         following[item] = (c + weight, None if back is None else (((i, item),), ("stray", i, None)))
-            carried = following
+            carried, weight, live = following, then, coming
             if not carried and token is not None:
                 return most + 1
         return now.get(whole, most + 1)
 
+    def _live(self, kinds: list[str], i: int, weight: int, most: int, ends: frozenset[int], needs: tuple[int, ...]) -> list[tuple | None]:
+        """By edits made: what can go on at the i-th token; None where all can."""
+        out: list[tuple | None] = []
+        for total in range(most + 1):
+            left = most - total - needs[i + 2]  # for the next two tokens
+            if total + needs[i] > most:
+                out.append(NOTHING)
+            elif left > 1:
+                out.append(None)
+            elif left:
+                out.append(self._alive(kinds[i], kinds[i + 1] if weight == 1 and i + 1 < len(kinds) else None, 1, i in ends or i + 1 in ends))
+            else:
+                out.append(self._alive(kinds[i], None, 0, i in ends))
+        return out
+
     # -- Places of edits. ------------------------------------------------------------------------
 
     def _bare(self, name: str, seq: tuple, places: tuple) -> tuple[tuple, tuple]:
@@ -528,6 +782,43 @@ class Grammar:
         return places[i]
 
 
+def _bare_places(seq: tuple) -> list[int]:
+    """For each place, and the one after all: how many tokens are before it, line breaks left out."""
+    places = [0]
+    for t in seq:
+        places.append(places[-1] + (t != "BR"))
+    return places
+
+
+class Node:
+    """What a chart asks next: how dear it is, up to `most`, to make the group at a place a nonterminal; and what follows by the answer."""
+
+    __slots__ = ("at", "most", "nexts", "want")
+
+    def __init__(self, at: int, want: str, most: int) -> None:
+        self.at, self.want, self.most, self.nexts = at, want, most, {}
+
+
+def matched(tokens: list[str], closers: dict[str, str]) -> tuple | None:
+    """The sequence with groups of flat tokens whose brackets match; None if they don't."""
+    stack: list[tuple[str, list]] = []
+    marks = {*closers, *closers.values()}
+    inner: list = []
+    for t in tokens:
+        if t not in marks:
+            inner.append(t)
+        elif t in closers:
+            stack.append((t, inner))
+            inner = []
+        else:
+            if not stack or closers[stack[-1][0]] != t:
+                return None
+            o, outer = stack.pop()
+            outer.append((o, share(tuple(inner))))
+            inner = outer
+    return None if stack else share(tuple(inner))
+
+
 def nest(tokens: list[str], closers: dict[str, str], without: frozenset[int] = frozenset()) -> tuple[tuple, tuple, list[tuple[str, int]]]:
     """(sequence with groups, places of its symbols, edits of brackets) of flat tokens, those of `without` left out.
 

@@ -70,7 +70,15 @@ def _compiled(language: str) -> re.Pattern[str]:
         word = r"(?P<word>[^\W\d][\w$]*|\$[\w$]*)"
     flags = re.M | (re.S if language != "python" else 0)
     comments = comments.replace("[^\\n]*", "[^\\n]*")
-    return re.compile("|".join([CONFLICT.replace(".*)", "[^\\n]*)"), line, comments, strings[language], number, word, operators, r"(?P<bad>\S)"]), flags)
+    # What is frequent is tried first, and white space after a token goes with it: most tokens have some, and a match for itself costs as much as
+    # a token. A word before a quote or # may be the beginning of a string.
+    marks = r"(?P<mark>[()\[\]{},;])"
+    first = word
+    if language in ("python", "rust"):
+        first = r"(?P<word>[^\W\d]\w*+(?![\"'#$]))"
+        number += "|" + word.replace("<word>", "<prefix>")
+    conflict = CONFLICT.replace(".*)", "[^\\n]*)")
+    return re.compile("(?:" + "|".join([first, marks, line, comments, strings[language], number, conflict, operators, r"(?P<bad>\S)"]) + r")[ \t]*+", flags)
 
 
 _patterns: dict[str, re.Pattern[str]] = {}
@@ -104,21 +112,22 @@ def tokens(text: str, language: str) -> tuple[list[str], list[int]]:
     if not script:
         return _plain_tokens(text, at, language, pattern, kinds)
     match = pattern.match
+    word, mark, op, skip, line = (pattern.groupindex[k] for k in ("word", "mark", "op", "skip", "nl"))
     n = len(text)
     while at < n:
         m = match(text, at)
         if m is None:
             at += 1
             continue
-        kind, start, at = m.lastgroup, at, m.end()
-        if kind == "skip":
+        kind, start, at = m.lastindex, at, m.end()
+        if kind == skip:
             continue
-        if kind == "word":
-            last = kinds.get(m[0], "ID")
-            if out and out[-1] in (".", "?.") and last != "ID":
+        if kind == word:
+            last = kinds.get(m[word], "ID")
+            if last != "ID" and out and out[-1] in (".", "?."):
                 last = "KEY"
-        elif kind == "op":
-            t = m[0]
+        elif kind == op or kind == mark:
+            t = m[kind]
             last = kinds.get(t, t)
             if t[0] == "/" and (not out or out[-1] in BEFORE_REGEX) and (r := REGEX.match(text, start)):
                 last, at = "REGEX", r.end()
@@ -135,15 +144,15 @@ def tokens(text: str, language: str) -> tuple[list[str], list[int]]:
                     if depth[k] == "${":
                         last, goes_on = "$}", True
                     del depth[k:]
-        elif kind == "nl":
+        elif kind == line:
             if depth and depth[-1] != "{" or last == "BR":
                 continue
             last = "BR"
-        elif kind == "num":
+        elif m.lastgroup == "num":
             last = "NUM"
-        elif kind == "str":
+        elif m.lastgroup == "str":
             last = "STR"
-        elif kind == "tpl":
+        elif m.lastgroup == "tpl":
             part = TEMPLATE.match(text, at)
             last, at = ("BAD", n) if not part else ("STR", part.end()) if part[1] == "`" else ("TPL", at)
             goes_on = last == "TPL"
@@ -173,19 +182,26 @@ def _plain_tokens(text: str, at: int, language: str, pattern: re.Pattern[str], k
     starts: list[int] = []
     go, last = language == "go", ""
     get, put, mark = kinds.get, out.append, starts.append
+    word, mark_, op, skip, line = (pattern.groupindex[k] for k in ("word", "mark", "op", "skip", "nl"))
+    prefix = pattern.groupindex.get("prefix")
     for m in pattern.finditer(text, at):
-        kind = m.lastgroup
-        if kind == "word":
-            last = get(m[0], "ID")
-        elif kind == "op":
-            last = get(m[0], m[0])
-        elif kind == "skip" or kind == "nl":
-            if go and last in GO_ENDS and (kind == "nl" or "\n" in m[0]):
+        kind = m.lastindex
+        if kind == word:
+            last = get(m[word], "ID")
+        elif kind == mark_:
+            last = m[mark_]
+        elif kind == op:
+            last = m[op]
+            last = get(last, last)
+        elif kind == prefix:
+            last = get(m[prefix], "ID")
+        elif kind == skip or kind == line:
+            if go and last in GO_ENDS and (kind == line or "\n" in m[0]):
                 last = ";"
             else:
                 continue
         else:
-            last = SIMPLE.get(kind, "BAD")
+            last = SIMPLE.get(m.lastgroup, "BAD")
         put(last)
         mark(m.start())
     if go and last in GO_ENDS:
@@ -202,25 +218,32 @@ def _python_parts(text: str, at: int, end: int, pattern: re.Pattern[str], kinds:
     out: list[str] = []
     starts: list[int] = []
     get, put, mark = kinds.get, out.append, starts.append
+    word, mark_, op, skip, line, string, prefix = (pattern.groupindex[k] for k in ("word", "mark", "op", "skip", "nl", "str", "prefix"))
     while at < end:
         for m in pattern.finditer(text, at, end):
-            kind = m.lastgroup
-            if kind == "skip":
+            kind = m.lastindex
+            if kind == skip:
                 continue
-            start, at = m.span()
-            if kind == "op":
-                put(get(m[0], m[0]))
-            elif kind == "word":
+            start = m.start()
+            if kind == word:
+                put(get(m[word], "ID"))
+            elif kind == mark_:
+                put(m[mark_])
+            elif kind == op:
+                t = m[op]
+                put(get(t, t))
+            elif kind == prefix:
+                at = m.end(prefix)
                 if at < end and text[at] in "\"'" and (f := FORMATTED.match(text, start)):
                     break
-                put(get(m[0], "ID"))
-            elif kind == "str" and (f := FORMATTED.match(text, start)):
+                put(get(m[prefix], "ID"))
+            elif kind == string and (f := FORMATTED.match(text, start)):
                 break
-            elif kind == "nl":
+            elif kind == line:
                 put("nl")
-                start = at - 1
+                start = m.end(line) - 1
             else:
-                put(SIMPLE.get(kind, "BAD"))
+                put(SIMPLE.get(m.lastgroup, "BAD"))
             mark(start)
         else:
             break
@@ -364,13 +387,14 @@ def soft_keywords(kinds: list[str], starts: list[int], text: str) -> list[str]:
 
 
 JSON = re.compile(r"(?P<skip>[ \t\r\n]+)|(?P<str>\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")|(?P<num>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![\w.]))|(?P<word>true|false|null)\b|(?P<op>[{}\[\],:])|(?P<bad>\S)")
+JSON_KINDS = {"str": "STR", "num": "NUM", "word": "WORD", "bad": "BAD"}
 
 
 def json_tokens(text: str) -> tuple[list[str], list[int]]:
     kinds, starts = [], []
     for m in JSON.finditer(text.removeprefix("﻿")):
         if (k := m.lastgroup) != "skip":
-            kinds.append({"str": "STR", "num": "NUM", "word": "WORD", "bad": "BAD"}.get(k) or m[0])
+            kinds.append(JSON_KINDS.get(k) or m[0])
             starts.append(m.start())
     return kinds, starts
 

@@ -8,14 +8,14 @@ where the edits are: conflict marks, an open end, the whole file from its beginn
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import lexers
-from siltstone.llm.chart import nest, unclosed
+from siltstone.llm.chart import matched, nest, unclosed
 from siltstone.llm.grammars import BRACKETS, EXTENSIONS, grammar
 
 #: Repairs are worked out up to this cost; dearer files count as this and one.
@@ -38,7 +38,7 @@ def lexed(text: str, language: str) -> tuple[list[str], list[int], dict[str, str
     return *lexers.tokens(text, language), BRACKETS
 
 
-def _order(seq: tuple, places: tuple, language: str) -> list[tuple[str, int]]:
+def _order(seq: tuple, places: Sequence, language: str) -> list[tuple[str, int]]:
     """Edits of a Go file's order: the package comes first, and imports before all else."""
     if language != "go":
         return []
@@ -58,8 +58,12 @@ def inspect(text: str, language: str, most: int = MOST) -> tuple[int, str | None
     if language == "json" and not text.strip():
         return 1, "truncation", 1
     kinds, starts, brackets = lexed(text, language)
-    kinds, brackets = ["I" if k == "INDENT" else k for k in kinds], {("I" if a == "INDENT" else a): b for a, b in brackets.items()}
+    if "INDENT" in brackets:
+        kinds, brackets = ["I" if k == "INDENT" else k for k in kinds], {("I" if a == "INDENT" else a): b for a, b in brackets.items()}
     g, n = grammar(language), len(kinds)
+    # Most files are valid, and need no places.
+    if (whole := matched(kinds, brackets)) is not None and not _order(whole, range(len(whole)), language) and not g.cost("file", whole, 0):
+        return 0, None, None
     tries = [nest(kinds, brackets)]
     if tries[0][2] and (left := unclosed(kinds, brackets)):
         tries.append(nest(kinds, brackets, left))
